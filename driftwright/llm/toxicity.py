@@ -356,9 +356,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_docs: int = 2000) ->
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, max_docs: int = 2000) -> DataFrame:
-    """The rows below one half, with all columns."""
-    model = train(docs, labels, max_docs)
+def drop_toxic(docs: DataFrame, labels: DataFrame, max_docs: int = 2000, training_docs: DataFrame | None = None) -> DataFrame:
+    """The rows below one half, with all columns; the labels' texts come from ``training_docs`` if given."""
+    model = train(docs if training_docs is None else training_docs, labels, max_docs)
     rows = docs.select(F.struct("*").alias("row"), toxic_score(model, F.col("text")).alias("score"))
     return rows.filter("score < 0.5").select("row.*")
 
