@@ -5,7 +5,8 @@ measures of a text are array and string functions over it, each linear or n log
 long text needs no other path. ``THRESHOLDS`` names measures with the least and the greatest value
 allowed; ``compile_rules`` turns it into columns, one per rule, and the verdict. A null text counts as
 empty, without words; repeated rows are judged each; an empty table gives no rows. Ratios of a text
-without words (or letters, or lines) are 0.
+without words (or letters, or lines) are 0. The share of stop words counts one more than there are, so that a
+text too short to be sure of one is not judged by it; stutter is the share of words that equal the one before.
 """
 
 from __future__ import annotations
@@ -32,8 +33,9 @@ THRESHOLDS = [
     ("word_length", "mean_word_chars", 2.0, 20.0),
     ("symbols", "symbols_per_word", None, 0.1),
     ("stop_words", "stop_word_share", 0.02, None),
-    ("repeated_lines", "duplicate_line_share", None, 0.3),
+    ("repeated_lines", "duplicate_line_share", None, 0.35),
     ("repeated_words", "repeated_word_share", None, 0.2),
+    ("stutter", "stutter_share", None, 0.2),
     ("capitals", "capital_share", None, 0.5),
 ]
 
@@ -66,6 +68,7 @@ def _measures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.sequence(F.lit(0), F.size("hashes") - WINDOW),
         lambda i: F.xxhash64(*[F.get("hashes", i + k) for k in range(WINDOW)]),
     )
+    rows = rows.withColumn("n_stutter", F.size(F.filter("hashes", lambda h, i: h == F.get("hashes", i - 1))))
     rows = rows.drop("text", "words", "lines").withColumn("windows", F.when(F.size("hashes") >= WINDOW, window).otherwise(F.array().cast("array<bigint>")))
     return rows.withColumn("n_repeat_words", repeated_cover(rows_windows="windows"))
 
@@ -104,9 +107,10 @@ def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines",
         ratio("word_chars", "n_words").alias("mean_word_chars"),
         ratio("n_symbols", "n_words").alias("symbols_per_word"),
-        ratio("n_stop", "n_words").alias("stop_word_share"),
+        F.when(F.col("n_words") == 0, 0.0).otherwise((F.col("n_stop") + 1) / F.col("n_words")).alias("stop_word_share"),
         ratio("n_dup_lines", "n_lines").alias("duplicate_line_share"),
         ratio("n_repeat_words", "n_words").alias("repeated_word_share"),
+        ratio("n_stutter", "n_words").alias("stutter_share"),
         ratio("capitals", "letters").alias("capital_share"),
         ((F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).alias("base_failed"),
     )
