@@ -37,7 +37,8 @@ WORDS, LIKENESS = 5, 75
 CHUNKS, LANES, BITS = 12, 4, 16
 DISTANCE = 2 * CHUNKS - 1
 SMALL = 32
-BLOCK_SHINGLES = 200_000
+BLOCK_SHINGLES = 50_000
+SALTS = 16
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 _ODD = np.random.RandomState(20240607).randint(0, 2**32, (2, CHUNKS * LANES), dtype=np.uint64).astype(np.uint32)
@@ -201,11 +202,15 @@ def _across_components(crowded: DataFrame, links: DataFrame, sets: DataFrame) ->
         F.ceil(F.col("all") / BLOCK_SHINGLES).cast("int").alias("inner_blocks"),
         F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("most")) / BLOCK_SHINGLES).cast("int")).alias("outer_blocks"),
     )
-    nodes = nodes.join(main, F.col("cluster") == F.col("its"))
     hashed = F.xxhash64("rep")
+    # a cluster's rows are dealt over salts to meet its block counts, and over its blocks to be compared
+    main = main.withColumn("its_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    nodes = nodes.withColumn("salt", F.pmod(hashed, F.lit(SALTS)).cast("int"))
+    nodes = nodes.join(main, (F.col("cluster") == F.col("its")) & (F.col("salt") == F.col("its_salt")))
     inner = nodes.select("cluster", "rep", "comp", "shingles", F.lit(False).alias("outer"), F.pmod(hashed, F.col("inner_blocks")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("outer_blocks") - 1)).alias("o"))
     outer = nodes.filter("comp <> main").select("cluster", "rep", "comp", "shingles", F.lit(True).alias("outer"), F.explode(F.sequence(F.lit(0), F.col("inner_blocks") - 1)).alias("i"), F.pmod(hashed, F.col("outer_blocks")).cast("int").alias("o"))
-    return inner.unionByName(outer).groupBy("cluster", "i", "o").applyInPandas(_linked_in_block, "a long, b long")
+    blocks = inner.unionByName(outer).withColumn("block", F.xxhash64("cluster", "i", "o"))
+    return blocks.select("block", "rep", "comp", "shingles", "outer").groupBy("block").applyInPandas(_linked_in_block, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
