@@ -25,6 +25,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from heapq import heapify, heappop, heapreplace
+from sys import intern
 
 import numpy as np
 import pandas as pd
@@ -169,30 +170,37 @@ def words_of(sentence: str) -> list[str]:
     return [w for w in words if len(w) >= MIN_LANDMARK - 1] + ["".join(c for c in run if c.isalpha()).lower() for run in SPELT.findall(sentence)]
 
 
-def mine_landmarks(docs: list[set[str]], toxic: np.ndarray) -> list[str]:
-    """Word beginnings by greedy weighted cover of the toxic documents; matched words leave the pool."""
+def beginnings(word: str) -> list[str]:
+    return [word[:n] for n in range(MIN_LANDMARK, min(len(word), MAX_LANDMARK) + 1)]
+
+
+def mine_landmarks(toxic: list[set[str]], clean: Iterator[set[str]], n_clean: int) -> list[str]:
+    """Word beginnings by greedy weighted cover of the toxic documents; matched words leave the pool.
+
+    Of the clean documents, which pass by once, only counts for beginnings of toxic documents' words are kept.
+    """
     places = defaultdict(list)
-    for i, words in enumerate(docs):
+    for i, words in enumerate(toxic):
         for word in words:
             places[word].append(i)
     members = defaultdict(list)
-    for word, where in places.items():
-        if any(toxic[i] for i in where):
-            for n in range(MIN_LANDMARK, min(len(word), MAX_LANDMARK) + 1):
-                members[word[:n]].append(word)
-    clean_only = defaultdict(int)
-    for word, where in places.items():
-        for n in range(MIN_LANDMARK, min(len(word), MAX_LANDMARK) + 1):
-            if word[:n] in members:
-                clean_only[word[:n]] += sum(not toxic[i] for i in where)
-    n_toxic, n_clean = int(toxic.sum()), int((~toxic).sum())
-    covered, gone, chosen = np.zeros(len(docs)), set(), []
+    for word in places:
+        for stem in beginnings(word):
+            members[stem].append(word)
+    members = {s: words for s, words in members.items() if len(words) > 2 or len({i for w in words for i in places[w]}) > 2}
+    in_clean = dict.fromkeys(members, 0)
+    for words in clean:
+        for word in words:
+            for stem in beginnings(word):
+                if stem in in_clean:
+                    in_clean[stem] += 1
+    covered, gone, chosen = np.zeros(len(toxic)), set(), []
 
     def gain(stem: str) -> float:
-        hit = {i for w in members[stem] if w not in gone for i in places[w] if toxic[i]}
+        hit = {i for w in members[stem] if w not in gone for i in places[w]}
         if len(hit) < 3:
             return 0.0
-        ratio = ((len(hit) + 0.5) / n_toxic) / ((clean_only[stem] + 0.5) / n_clean)
+        ratio = ((len(hit) + 0.5) / len(toxic)) / ((in_clean[stem] + 0.5) / n_clean)
         return sum(0.5 ** covered[i] for i in hit) * np.log(ratio) if ratio >= 5 else 0.0
 
     heap = [(-gain(s), -len(s), s) for s in members]
@@ -204,7 +212,7 @@ def mine_landmarks(docs: list[set[str]], toxic: np.ndarray) -> list[str]:
         if now != value:
             heapreplace(heap, (now, -len(stem), stem)) if now < 0 else heappop(heap)
             continue
-        if -value < max(5.0, 0.02 * n_toxic):
+        if -value < max(5.0, 0.02 * len(toxic)):
             break
         heappop(heap)
         chosen.append(stem)
@@ -231,12 +239,12 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
     return w
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        step = np.linalg.solve((x * (weight * (p * (1 - p) + 1e-6))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (weight * (y - p)) - ridge * w)
         w = w + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
@@ -246,36 +254,51 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 class ToxicModel:
     """A trained scorer; without landmarks (no labels of both classes) all scores are 0."""
 
-    def __init__(self, texts: list[str], labels: list[int]) -> None:
+    def __init__(self, texts: list[str], labels: list[int], clean_per_toxic: float | None = None) -> None:
+        """``clean_per_toxic``: of all labels, where the sample holds another share than they do."""
         pairs = list(dict(zip(texts, labels, strict=True)).items())
-        toxic = np.array([y == 1 for _, y in pairs], dtype=bool)
+        toxic = [t for t, y in pairs if y == 1]
+        clean = [t for t, y in pairs if y != 1]
         self.cache: dict[str, float] = {}
+        self.limit = CACHE
         self.kernel = KernelMap([])
-        if not toxic.any() or toxic.all():
+        if not toxic or not clean:
             return
-        docs = [{w for s in SENTENCE.split(t) for w in words_of(s)} for t, _ in pairs]
-        self.kernel = KernelMap(mine_landmarks(docs, toxic))
+
+        def bags(texts: list[str]) -> Iterator[set[str]]:
+            return ({intern(w) for s in SENTENCE.split(t) for w in words_of(s)} for t in texts)
+
+        self.kernel = KernelMap(mine_landmarks(list(bags(toxic)), bags(clean), len(clean)))
         if not self.kernel.landmarks:
             return
         own = self.kernel(self.kernel.landmarks)
         value, vector = np.linalg.eigh((own + own.T) / 2)
         root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-2))) @ vector.T
-        seen: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(2))
-        for words, bad in zip(docs, toxic, strict=True):
-            for word in words:
-                seen[word][int(bad)] += 1
-        words = list(seen)
-        values = np.concatenate([self.kernel(words[i : i + 20_000]) for i in range(0, len(words), 20_000)])
-        near = np.flatnonzero(values.any(axis=1))
-        counts = np.array([seen[words[i]] for i in near]).reshape(-1, 2) / [(~toxic).sum(), toxic.sum()]
+        near: dict[str, list] = {}  # words with a value other than 0: values, documents that hold them by class
+        for label, texts in enumerate((clean, toxic)):
+            for at in range(0, len(texts), 100):
+                group = list(bags(texts[at : at + 100]))
+                words = sorted(set().union(*group).difference(near))
+                values = self.kernel(words)
+                for i in np.flatnonzero(values.any(axis=1)):
+                    near[words[i]] = [values[i], 0, 0]
+                for bag in group:
+                    for word in bag.intersection(near):
+                        near[word][1 + label] += 1
+        values = np.array([v[0] for v in near.values()])
+        counts = np.array([v[1:] for v in near.values()]) / [len(clean), len(toxic)]
         # landmarks with a letter slipped in stand for the spellings that the sample lacks
         slipped = self.kernel([w[:i] + c + w[i:] for w in self.kernel.landmarks for i in range(1, len(w)) for c in "xh"])
-        x = np.concatenate([values[near], values[near], slipped, np.zeros((1, values.shape[1]))]) @ root
-        y = np.concatenate([np.full(len(near), -1.0), np.ones(len(near) + len(slipped)), [-1.0]])
+        x = np.concatenate([values, values, slipped, np.zeros((1, values.shape[1]))]) @ root
+        y = np.concatenate([np.full(len(values), -1.0), np.ones(len(values) + len(slipped)), [-1.0]])
         weight = np.concatenate([counts[:, 0], counts[:, 1], np.full(len(slipped), counts[:, 1].sum() / len(slipped)), [1.0]]) * 100
         w = squared_hinge(x, y, weight)
         self.alpha, self.bias = root @ w[:-1], w[-1]
-        self.curve = logistic(np.array(self.evidence([t for t, _ in pairs])), toxic.astype(float))
+        self.limit = CACHE // 10
+        sizes = [len(toxic), len(clean)]
+        weight = np.repeat([1.0, (clean_per_toxic or sizes[1] / sizes[0]) * sizes[0] / sizes[1]], sizes)
+        self.curve = logistic(np.array(self.evidence(toxic + clean)), np.repeat([1.0, 0.0], sizes), weight)
+        self.limit, self.cache = CACHE, {}
 
     def __getstate__(self):
         return self.__dict__ | {"cache": {}}
@@ -283,7 +306,7 @@ class ToxicModel:
     def learn_words(self, tokens: set[str]) -> None:
         """Margins of unseen tokens into the cache, which is emptied when full."""
         fresh = [t for t in tokens if t not in self.cache]
-        if len(self.cache) > CACHE:
+        if len(self.cache) > self.limit:
             self.cache.clear()
             fresh = list(tokens)
         for at in range(0, len(fresh), 20_000):
@@ -326,15 +349,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = 2000) -> ToxicModel:
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = 1500) -> ToxicModel:
     """Fit on at most ``max_docs`` labelled documents of each class that are not held out."""
     known = labels.select(F.col("doc_id").alias("its_id"), F.col("toxic").cast("int").alias("label")).filter("label IN (0, 1) AND its_id IS NOT NULL")
     known = known.filter(~held_out(F.col("its_id"))).groupBy("its_id").agg(F.max("label").alias("label"))
+    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     order = [F.xxhash64("its_id"), F.col("its_id")]
     sample = known.filter("label = 1").orderBy(*order).limit(max_docs).unionByName(known.filter("label = 0").orderBy(*order).limit(max_docs))
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("its_id")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
-    rows = sorted((r["doc_id"], r["text"], r["label"]) for r in rows.collect())
-    return ToxicModel([r[1] for r in rows], [r[2] for r in rows])
+    found = rows.toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    return ToxicModel(found["text"].to_pylist(), found["label"].to_pylist(), sizes.get(0, 0) / max(1, sizes.get(1, 0)) or None)
 
 
 def toxic_score(model: ToxicModel, text: Column) -> Column:
@@ -349,14 +373,14 @@ def toxic_score(model: ToxicModel, text: Column) -> Column:
     return score(text)
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, max_docs: int = 2000) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, max_docs: int = 1500) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted."""
     model = train(docs, labels, max_docs)
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), toxic_score(model, F.col("text")).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, max_docs: int = 2000, training_docs: DataFrame | None = None) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, max_docs: int = 1500, training_docs: DataFrame | None = None) -> DataFrame:
     """The rows below one half, with all columns; the labels' texts come from ``training_docs`` if given."""
     model = train(docs if training_docs is None else training_docs, labels, max_docs)
     rows = docs.select(F.struct("*").alias("row"), toxic_score(model, F.col("text")).alias("score"))
