@@ -4,8 +4,9 @@ Model. A text is cut into sentences and words (letters only, lower-cased; letter
 joined). Landmarks are word beginnings that mark sentences of toxic documents, mined greedily: the
 next one covers the most toxic documents that the ones before leave uncovered, against the clean ones. A word
 is compared with a landmark by the gap-weighted subsequence kernel of order 3, normalised, at its best
-window of up to two letters more than the landmark, so inserted letters and gaps lower the value instead of
-hiding the match. Windows that lack more than one letter of the landmark (any, if it has four) count as 0.
+window of up to three letters more than the landmark, so inserted letters and gaps lower the value instead of
+hiding the match. Windows that lack a letter of the landmark count as 0. Short landmarks are easily met by chance: one of up to
+five letters must begin the word (a mark is set before both), one of four takes no gaps.
 Nyström features, the kernel values times the inverse root of the landmarks' own kernel matrix, go into a
 squared-hinge support vector machine over words. A document is scored from its best sentence and from how
 many sentences hold a word on the toxic side, through a logistic curve fitted on the same labelled rows.
@@ -35,9 +36,10 @@ from pyspark.sql import functions as F
 from .common import read_table
 
 DECAY, ORDER = 0.5, 3
-SLACK = 2
-WIDTH, STRIDE = 24, 12
+SLACK, ANCHORED = 3, 5
+WIDTH, STRIDE = 24, 11
 MIN_LANDMARK, MAX_LANDMARK, LANDMARKS = 4, 9, 96
+START = "^"
 CACHE, GROUP_CHARS = 300_000, 2_000_000
 SENTENCE = re.compile(r"[.!?\n]+")
 BREAK = re.compile(r"(?<=[.!?])\s+|\n")
@@ -96,14 +98,15 @@ class KernelMap:
     letters: dict[int, int] = field(init=False)
 
     def __post_init__(self) -> None:
-        alphabet = sorted(set("".join(self.landmarks)))
+        alphabet = sorted(set("".join(self.landmarks)) | {START})
         self.letters = {ord(c): i + 1 for i, c in enumerate(alphabet)}
         self.other = len(alphabet) + 1
         self.lookup = np.full(max(self.letters, default=0) + 2, self.other, dtype=np.uint8)
         for point, code in self.letters.items():
             self.lookup[point] = code
         self.bits = np.array([0] + [1 << min(i, 63) for i in range(len(alphabet))] + [0], dtype=np.uint64)
-        self.coded = [self._codes([w], MAX_LANDMARK)[0][: len(w)] for w in self.landmarks]
+        marked = [START + w if len(w) <= ANCHORED else w for w in self.landmarks]
+        self.coded = [self._codes([w], MAX_LANDMARK + 1)[0][: len(w)] for w in marked]
         self.masks = [np.bitwise_or.reduce(self.bits[c]) for c in self.coded]
         self.tables = []
         for codes in self.coded:
@@ -125,6 +128,7 @@ class KernelMap:
         """(words, landmarks) values; a word over ``WIDTH`` letters takes its best over overlapping parts."""
         parts, owner = [], []
         for i, word in enumerate(words):
+            word = START + word
             for at in range(0, max(1, len(word) - WIDTH + STRIDE), STRIDE) if len(word) > WIDTH else (0,):
                 parts.append(word[at : at + WIDTH])
                 owner.append(i)
@@ -134,7 +138,7 @@ class KernelMap:
         owner, codes = np.array(owner), self._codes(parts, WIDTH)
         sizes = (codes > 0).sum(axis=1)
         masks = np.bitwise_or.reduce(self.bits[codes], axis=1)
-        for lo, hi in ((MIN_LANDMARK - 1, 8), (8, STRIDE), (STRIDE, WIDTH)):
+        for lo, hi in ((MIN_LANDMARK, 8), (8, STRIDE), (STRIDE, WIDTH)):
             rows = np.flatnonzero((sizes > lo) & (sizes <= hi))
             if len(rows):
                 self._fill(out, codes[rows, :hi], sizes[rows], masks[rows], owner[rows])
@@ -142,16 +146,15 @@ class KernelMap:
 
     def _fill(self, out: np.ndarray, codes: np.ndarray, sizes: np.ndarray, masks: np.ndarray, owner: np.ndarray) -> None:
         """Values of words of similar length: letters present, then common subsequence, then the kernel on windows."""
-        for k, (own_codes, mask, table, own) in enumerate(zip(self.coded, self.masks, self.tables, self.own, strict=True)):
+        for k, (landmark, own_codes, mask, table, own) in enumerate(zip(self.landmarks, self.coded, self.masks, self.tables, self.own, strict=True)):
             size = len(own_codes)
-            need = size - (size > MIN_LANDMARK)
-            rows = np.flatnonzero(np.bitwise_count(mask & ~masks) <= size - need)
-            rows = rows[sizes[rows] >= need]
-            rows = rows[common_length(codes[rows], table, size) >= need]
+            rows = np.flatnonzero((mask & ~masks == 0) & (sizes >= size))
+            rows = rows[common_length(codes[rows], table, size) == size]
             if not len(rows):
                 continue
             views, whose = [], []
-            for width in range(need, min(size + SLACK, codes.shape[1]) + 1):
+            slack = SLACK if len(landmark) > MIN_LANDMARK else 0
+            for width in range(size, min(size + slack, codes.shape[1]) + 1):
                 for at in range(codes.shape[1] - width + 1):
                     fit = rows[sizes[rows] >= at + width]
                     view = np.zeros((len(fit), size + SLACK), dtype=np.uint8)
@@ -159,7 +162,7 @@ class KernelMap:
                     views.append(view)
                     whose.append(fit)
             view, fit = np.concatenate(views), np.concatenate(whose)
-            near = common_length(view, table, size) >= need
+            near = common_length(view, table, size) == size
             view, fit = view[near], fit[near]
             value = gap_kernel(view, np.broadcast_to(own_codes, (len(view), size))) / np.sqrt(gap_kernel(view, view) * own + 1e-12)
             np.maximum.at(out[:, k], owner[fit], value)
@@ -288,10 +291,10 @@ class ToxicModel:
         values = np.array([v[0] for v in near.values()])
         counts = np.array([v[1:] for v in near.values()]) / [len(clean), len(toxic)]
         # landmarks with a letter slipped in stand for the spellings that the sample lacks
-        slipped = self.kernel([w[:i] + c + w[i:] for w in self.kernel.landmarks for i in range(1, len(w)) for c in "xh"])
+        slipped = self.kernel([w[:i] + c + w[i:] for w in self.kernel.landmarks if len(w) > MIN_LANDMARK for i in range(1, len(w)) for c in "xh"])
         x = np.concatenate([values, values, slipped, np.zeros((1, values.shape[1]))]) @ root
         y = np.concatenate([np.full(len(values), -1.0), np.ones(len(values) + len(slipped)), [-1.0]])
-        weight = np.concatenate([counts[:, 0], counts[:, 1], np.full(len(slipped), counts[:, 1].sum() / len(slipped)), [1.0]]) * 100
+        weight = np.concatenate([counts[:, 0], counts[:, 1], np.full(len(slipped), counts[:, 1].sum() / max(1, len(slipped))), [1.0]]) * 100
         w = squared_hinge(x, y, weight)
         self.alpha, self.bias = root @ w[:-1], w[-1]
         self.limit = CACHE // 10

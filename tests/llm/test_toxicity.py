@@ -68,7 +68,7 @@ def test_learns_marks_and_tolerates_inserted_letters():
     assert ((scores >= 0.5) == (labels == 1)).mean() > 0.98
     clean, insult, spelt, slipped, dotted = m.scores(["a calm line about rest", "you gloopy one", "you g l o o p y one", "a frump-wit he is", "such a s.n.a.r.k.e.l here"])
     assert clean < 0.5 < min(insult, spelt, slipped, dotted)
-    assert m.scores(["you snarxkel"])[0] > 3 * clean and m.scores([None, ""])[0] == m.scores([""])[0] < 0.5
+    assert m.scores(["you snarxkel"])[0] > max(0.5, 3 * clean) and m.scores([None, ""])[0] == m.scores([""])[0] < 0.5
 
 
 def test_long_words_are_read_to_the_end():
@@ -92,8 +92,8 @@ def test_held_out_accuracy(spark):
     order = rows["score"].rank().to_numpy()
     bad = rows["toxic"].to_numpy() == 1
     auc = (order[bad].mean() - (bad.sum() + 1) / 2) / (~bad).sum()
-    assert auc > 0.9
-    assert (rows["predicted"] == rows["toxic"]).mean() > 0.93
+    assert auc > 0.94
+    assert (rows["predicted"] == rows["toxic"]).mean() > 0.95
 
 
 def test_awkward_rows_and_labels(spark):
