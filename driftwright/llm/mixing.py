@@ -76,12 +76,12 @@ def _share_out(nodes: DataFrame, parent: list[str], level: str, weights: dict) -
 def budget_tree(supply: DataFrame, budget_share: float, weights: dict, max_epochs: int, levels=LEVELS) -> DataFrame:
     """Per leaf of (levels, supply): ``alloc`` tokens of a budget that is a share of all supply."""
     levels = list(levels)
-    budget = supply.agg((F.coalesce(F.sum("supply"), F.lit(0)) * budget_share).alias("budget"))
+    budget = (supply.agg(F.sum("supply")).first()[0] or 0) * budget_share  # one number
     above = None
     for depth, level in enumerate(levels):
         keys, parent = levels[: depth + 1], levels[:depth]
         nodes = supply.groupBy(*keys).agg((F.sum("supply") * max_epochs).alias("capacity"))
-        nodes = nodes.join(F.broadcast(budget)) if above is None else nodes.join(above, parent)
+        nodes = nodes.withColumn("budget", F.lit(float(budget))) if above is None else nodes.join(above, parent)
         above = _share_out(nodes, parent, level, weights).select(*keys, "budget")
     return above.withColumn("alloc", F.floor("budget").cast("long")).drop("budget")
 
