@@ -258,7 +258,7 @@ def cross_cohort_summary(spark, d):
 
 
 @query(
-    """SELECT year(o_orderdate) AS year, count(*) AS n, round(median(date_diff('second', o_orderdate, TIMESTAMP '2026-08-20 00:00:00') / 86400.0), 4) AS median_age_days,
+    """SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS n, round(median(date_diff('second', o_orderdate, TIMESTAMP '2026-08-20 00:00:00') / 86400.0), 4) AS median_age_days,
   round(min(date_diff('second', o_orderdate, TIMESTAMP '2026-08-20 00:00:00') / 86400.0), 4) AS least_age_days FROM orders GROUP BY 1"""
 )
 def exposure_age(spark, d):

@@ -174,7 +174,7 @@ def cross_group_members(spark, d):
 
 
 @query(
-    """SELECT year, o_orderkey, CAST(r AS INTEGER) AS rank FROM (SELECT year(o_orderdate) AS year, o_orderkey,
+    """SELECT year, o_orderkey, CAST(r AS INTEGER) AS rank FROM (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, o_orderkey,
   row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY abs(date_diff('second', make_timestamp(year(o_orderdate), 8, 1, 12, 0, 0), o_orderdate)), o_orderkey) AS r FROM orders
   WHERE abs(date_diff('second', make_timestamp(year(o_orderdate), 8, 1, 12, 0, 0), o_orderdate)) <= 604800) WHERE r <= 12"""
 )
