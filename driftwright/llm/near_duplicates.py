@@ -162,30 +162,27 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _linked_in_block(block: pd.DataFrame) -> pd.DataFrame:
-    """For the outer rows of a block, one linked inner row of every other component that they are linked with."""
+    """The pairs of components that an outer and an inner row of a block link."""
     outer, inner = block[block["outer"]], block[~block["outer"]]
-    a, b = [], []
+    found = set()
     if len(outer) and len(inner):
         sizes = inner["shingles"].map(len).to_numpy()
         values = np.concatenate(inner["shingles"].to_numpy())
         order = np.argsort(values, kind="stable")
         values, owners = values[order], np.repeat(np.arange(len(inner)), sizes)[order]
-        ids, comps = inner["rep"].to_numpy(), inner["comp"].to_numpy()
-        for rep, comp, own in zip(outer["rep"], outer["comp"], outer["shingles"], strict=True):
+        comps = inner["comp"].to_numpy()
+        for comp, own in zip(outer["comp"], outer["shingles"], strict=True):
             lo, hi = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
             runs = hi - lo
             at = np.repeat(lo - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())
             common = np.bincount(owners[at], minlength=len(inner))
-            hits = np.flatnonzero((100 * common >= LIKENESS * (len(own) + sizes - common)) & (comps != comp))
-            hits = hits[np.unique(comps[hits], return_index=True)[1]]
-            a += [rep] * len(hits)
-            b += ids[hits].tolist()
-    return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
+            hits = (100 * common >= LIKENESS * (len(own) + sizes - common)) & (comps != comp)
+            found.update((int(comp), other) for other in np.unique(comps[hits]).tolist())
+    return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
 
 
-def _across_components(crowded: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """Links between components within large buckets; None if every such bucket lies in one component already."""
-    comps = connected_components(links, "a", "b")
+def _across_components(crowded: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """Pairs (a, b) of components that a link within a large bucket joins; None if every such bucket lies in one already."""
     rows = crowded.join(comps, crowded["rep"] == comps["node"], "left").select("key", "rep", "leader", F.coalesce("component", "rep").alias("comp"))
     rows = materialise(rows, "crowded")
     mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select(F.col("key").alias("k"))
@@ -233,13 +230,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     wanted = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).unionByName(crowded.select(F.col("rep").alias("a"))).distinct()
     sets = materialise(named.join(wanted, F.col("doc_id") == F.col("a"), "left_semi").mapInPandas(_shingled, "doc_id long, shingles array<long>"), "sets")
-    links = materialise(_confirmed(pairs, sets), "links")
-    if not crowded.isEmpty():
-        more = _across_components(crowded, links, sets)
-        links = links if more is None else links.unionByName(more)
-    comps = connected_components(links, "a", "b")
-
+    comps = connected_components(_confirmed(pairs, sets), "a", "b")
     named_classes = classes.join(comps, F.col("rep") == F.col("node"), "left").select(*whole, F.coalesce("component", "rep").alias("component"))
+    more = None if crowded.isEmpty() else _across_components(crowded, comps, sets)
+    if more is not None:
+        joined = connected_components(more, "a", "b").select(F.col("node").alias("part"), F.col("component").alias("of"))
+        named_classes = named_classes.join(joined, F.col("component") == F.col("part"), "left").select(*whole, F.coalesce("of", "component").alias("component"))
     rows = signed.select("doc_id", *whole).join(named_classes, whole, "left")
     rows = rows.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     rows = rows.withColumn("kept", F.col("doc_id") == F.col("component_id"))

@@ -21,6 +21,7 @@ score is 0. Repeated rows get equal scores; an empty table gives no rows.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -360,8 +361,15 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 1500) -> ToxicMode
     order = [F.xxhash64("its_id"), F.col("its_id")]
     sample = known.filter("label = 1").orderBy(*order).limit(max_docs).unionByName(known.filter("label = 0").orderBy(*order).limit(max_docs))
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("its_id")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
-    found = rows.toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return ToxicModel(found["text"].to_pylist(), found["label"].to_pylist(), sizes.get(0, 0) / max(1, sizes.get(1, 0)) or None)
+    odds = sizes.get(0, 0) / max(1, sizes.get(1, 0)) or None
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sample = pd.concat([pd.DataFrame({"doc_id": [], "text": [], "label": []}), *batches]).sort_values(["doc_id", "text"])
+        yield pd.DataFrame({"model": [pickle.dumps(ToxicModel(sample["text"].tolist(), sample["label"].astype(int).tolist(), odds))]})
+
+    # the sample is bounded, so one task holds it; only the model comes to the driver
+    found = rows.repartition(1).mapInPandas(fit, "model binary").first()
+    return pickle.loads(found["model"]) if found else ToxicModel([], [])
 
 
 def toxic_score(model: ToxicModel, text: Column) -> Column:
