@@ -186,6 +186,7 @@ def _across_components(crowded: DataFrame, comps: DataFrame, sets: DataFrame) ->
     rows = crowded.join(comps, crowded["rep"] == comps["node"], "left").select("key", "rep", "leader", F.coalesce("component", "rep").alias("comp"))
     rows = materialise(rows, "crowded")
     mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select(F.col("key").alias("k"))
+    mixed = materialise(mixed, "mixed-keys")
     rows = materialise(rows.join(mixed, F.col("key") == F.col("k")).select("rep", "leader", "comp").distinct(), "mixed")
     if rows.isEmpty():
         return None
@@ -222,6 +223,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     keys = _keys(classes)
     buckets = keys.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).filter("size > 1")
+    buckets = materialise(buckets, "buckets")  # a table of its own, so that a hot key's side of the join can be split
     members = materialise(keys.join(buckets, "key").select("key", "rep", "leader", "size"), "members")
     crowded = members.filter(F.col("size") > SMALL)
     pairs = _close_pairs(members.filter(F.col("size") <= SMALL), classes)
