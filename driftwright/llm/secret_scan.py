@@ -168,11 +168,20 @@ def compile_forest(forest: list, values: dict[str, Column]) -> Column:
     return total / len(forest)
 
 
+_grown: list = []
+
+
 def train(spark: SparkSession, findings: list[tuple[str, str, str, str, int]] | None = None) -> list:
+    """The forest of some labelled findings; that of the built-in ones, always the same, is grown once a session."""
+    if findings is None and _grown:
+        return _grown
     rows = spark.createDataFrame(findings or labelled_findings(), "value string, before string, after string, path string, label int")
     values = features(F.col("value"), F.col("before"), F.col("after"), F.col("path"))
     table = np.array([tuple(r) for r in rows.select(*[values[n].alias(n) for n in FEATURES], "label").collect()], dtype=float)
-    return grow_forest(table[:, :-1], table[:, -1])
+    forest = grow_forest(table[:, :-1], table[:, -1])
+    if findings is None:
+        _grown.extend(forest)
+    return forest
 
 
 def find_secrets(docs: DataFrame, forest: list, text_col: str = "text", path_col: str = "source", threshold: float = 0.5) -> DataFrame:
