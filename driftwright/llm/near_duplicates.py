@@ -181,13 +181,19 @@ def _linked_in_block(block: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
 
 
+def _salted_side(df: DataFrame) -> DataFrame:
+    """Every row once for each salt, to meet a hot key's rows that are dealt over the salts."""
+    return df.withColumn("its_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def _across_components(crowded: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame | None:
     """Pairs (a, b) of components that a link within a large bucket joins; None if every such bucket lies in one already."""
     rows = crowded.join(comps, crowded["rep"] == comps["node"], "left").select("key", "rep", "leader", F.coalesce("component", "rep").alias("comp"))
     rows = materialise(rows, "crowded")
     mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select(F.col("key").alias("k"))
-    mixed = materialise(mixed, "mixed-keys")
-    rows = materialise(rows.join(mixed, F.col("key") == F.col("k")).select("rep", "leader", "comp").distinct(), "mixed")
+    mixed = _salted_side(mixed)
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
+    rows = materialise(rows.join(mixed, (F.col("key") == F.col("k")) & (F.col("salt") == F.col("its_salt"))).select("rep", "leader", "comp").distinct(), "mixed")
     if rows.isEmpty():
         return None
     stars = connected_components(rows, "rep", "leader").withColumnRenamed("component", "cluster")
@@ -202,7 +208,7 @@ def _across_components(crowded: DataFrame, comps: DataFrame, sets: DataFrame) ->
     )
     hashed = F.xxhash64("rep")
     # a cluster's rows are dealt over salts to meet its block counts, and over its blocks to be compared
-    main = main.withColumn("its_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    main = _salted_side(main)
     nodes = nodes.withColumn("salt", F.pmod(hashed, F.lit(SALTS)).cast("int"))
     nodes = nodes.join(main, (F.col("cluster") == F.col("its")) & (F.col("salt") == F.col("its_salt")))
     inner = nodes.select("cluster", "rep", "comp", "shingles", F.lit(False).alias("outer"), F.pmod(hashed, F.col("inner_blocks")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("outer_blocks") - 1)).alias("o"))
