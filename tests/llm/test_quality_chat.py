@@ -4,6 +4,8 @@ import hashlib
 import json
 import re
 
+import pytest
+
 from driftwright.llm import chat_format as cf
 from driftwright.llm import quality_rules as qr
 
@@ -92,3 +94,25 @@ def test_conversation_query(spark, tmp_path):
         assert row["n_turns"] == len(turns)
         assert row["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
         assert (row["loss_chars"], row["loss_sha256"]) == (len(learnt), hashlib.sha256(learnt.encode()).hexdigest())
+
+
+def test_conversations_beyond_the_parser_stay_whole(spark, tmp_path):
+    """One text of over 20 million characters; texts of over 128 MiB in one conversation."""
+    size = 1_000_000
+    one = spark.sql("SELECT 1L AS conv_id, 0L AS turn, 'user' AS role, repeat('a', 20500000) AS text UNION ALL SELECT 1L, 1L, 'assistant', 'fine'")
+    many = spark.range(135).selectExpr("2L AS conv_id", "id AS turn", "IF(id = 134, 'gpt', 'user') AS role", f"repeat('b', {size}) AS text")
+    one.unionByName(many).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["conv_id"]: r for r in cf.op10_chat_format(spark, str(tmp_path)).collect()}
+    want = {1: [("user", "a" * 20_500_000), ("assistant", "fine")], 2: [("user", "b" * size)] * 134 + [("assistant", "b" * size)]}
+    for conv, turns in want.items():
+        row, learnt = got[conv], turns[-1][1]
+        assert row["n_turns"] == len(turns) and row["layout_fingerprint"] == got[-7]["layout_fingerprint"]
+        assert row["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+        assert (row["loss_chars"], row["loss_sha256"]) == (len(learnt), hashlib.sha256(learnt.encode()).hexdigest())
+        assert row["formatted_chars"] == sum(len(f"<s>{r}\n{t}</s>") for r, t in turns)
+
+
+def test_record_beyond_the_parser_fails_loudly(spark):
+    rows = spark.sql("""SELECT concat('{"prompt": "', repeat('a', 20500000), '", "completion": "c"}') AS record""")
+    with pytest.raises(Exception, match="exceeds the parser"):
+        cf.canonical_turns(rows, "record").select("layout_fingerprint").collect()
