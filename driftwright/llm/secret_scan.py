@@ -1,7 +1,7 @@
 """Secret scans: candidates by pattern, a random forest against false positives, compiled into expressions.
 
-Candidates are assignments to names such as token or password, and long runs of letters and digits
-with a digit. Each gets features of its length, of character transitions, of how much of it a dictionary covers, of its
+Candidates are assignments to names such as token or password, read to the closing quote where there is one on the
+line, and long runs of letters and digits with a digit, also right after the '=' of any other name. Each gets features of its length, of character transitions, of how much of it a dictionary covers, of its
 likeness to a path and its document's path, and of the neighbouring words. The forest is trained here on labelled
 findings (``labelled_findings()`` makes a seeded set; another can be passed), whose features come from the
 same expressions, and its trees become nested conditions. Scanning is one projection of built-in functions.
@@ -22,8 +22,14 @@ from pyspark.sql import functions as F
 from .common import read_table
 
 NAME = r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)s?"
-LEAD = NAME + r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?"
-CANDIDATE = LEAD + r"[^\s\"',;<>]{6,}|(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/=_-]*+[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
+TO_VALUE = NAME + r"(?:[_-][A-Za-z0-9]{1,40}+){0,8}+[\"']?\s{0,3}[:=]\s{0,3}"
+LEAD = TO_VALUE + r"[\"']?(?=[\s\S])"
+RUN = r"[A-Za-z0-9+/_-]"
+# to the closing quote: one word, or words without a run that may be a secret of its own
+QUOTED = "|".join(rf"{q}(?:[^{q}\\\s]|\\\S){{6,}}+(?={q})|{q}(?![^{q}\r\n]*{RUN}{{16}})(?:[^{q}\\\r\n]|\\.){{6,}}+(?={q})" for q in "\"'")
+# to a space, quote or separator, or to the next parameter of a query string
+BARE = r"[\"']?(?:[^\s\"',;<>&]|&(?![\w.-]{1,40}=)){6,}+"
+CANDIDATE = rf"{TO_VALUE}(?:{QUOTED}|{BARE})|(?<!{RUN})(?=[A-Za-z+/_-]*+[0-9]){RUN}{{16,}}(?:={{1,2}}(?![A-Za-z0-9+/=_-]))?"
 AROUND = 48
 
 # Words whose presence in a candidate, before it or in its path says something about it.
@@ -118,6 +124,28 @@ def labelled_findings(seed: int = 11, rounds: int = 90) -> list[tuple[str, str,
             (words[0] + "." + words[1] + "()", name() + " = "), (of(dig, 20), plain()), ("v" + "_".join(of(dig, 2) for _ in range(6)), "version "),
         ]
         rows += [(v, b, " ", draw.choice([path, fake]), 0) for v, b in others]
+    draw = random.Random(seed + 1)  # values glued to other names, in query strings and with any sign in quotes
+    for _ in range(rounds):
+        path = draw.choice(["src0", "src7", "app/main", "conf", "web"])
+
+        def env(names: str) -> str:
+            return draw.choice(["", "export ", "ENV ", plain()]) + draw.choice(names.split()) + "="
+
+        def link(names: str) -> str:
+            return draw.choice(["https://", plain()]) + ".".join(draw.sample(DICTIONARY, 2)) + "/" + draw.choice(DICTIONARY) + draw.choice("?&") + draw.choice(names.split()) + "="
+
+        keys, plain_names = "GITHUB_PAT STRIPE_SK AWS_ID DEPLOY_PAT SIGNING_SK BOT_KEY NPM_PAT SK KEY", "COMMIT BUILD_SHA IMAGE_DIGEST RELEASE ETAG ORDER_ID TRACE_UUID PAGE"
+        known = draw.choice(["AKIA" + of(up + dig, 16), "ghp_" + of(word, 36), "sk_live_" + of(word, 24)])
+        signed, quote = of(word + "!#$%,;<>&", draw.randint(8, 18)), draw.choice("\"'")
+        words = [draw.choice(DICTIONARY) for _ in range(draw.randint(2, 9))]
+        mine = [
+            (known, env(keys), "\n", 1), (known, env("AWS_ACCESS_KEY_ID ACCESS_KEY_ID API_KEY_V2 CI_TOKEN_MAIN"), "\n", 1), (of(word, draw.randint(24, 44)), env(keys), "\n", 1), (of(word, draw.randint(20, 44)), link("sig key sk signature code"), draw.choice("& "), 1),
+            (signed, name() + draw.choice([" = ", "=", ": "]) + quote, quote, 1),
+            (of(hexa, draw.choice([40, 64])), env(plain_names), "\n", 0), ("-".join(of(hexa, n) for n in (8, 4, 4, 4, 12)), link("id uuid item ref"), "&", 0), (of(dig, draw.choice([16, 18, 20])), link("page order id item"), " ", 0),
+            ("_".join(words[:4]) + "_" + of(dig, 2), env("NAME FILE MODE TITLE") if draw.random() < 0.5 else link("name file title"), " ", 0), (" ".join(words) + draw.choice(["", ".", "?", ", " + words[0]]), name() + draw.choice([" = ", "=", ": "]) + quote, quote, 0),
+            (draw.choice([of(dig, 6), "-".join(words[:2]) + "-name", "_".join(words[:2])]), name() + draw.choice(["_count", "_name", "_field", "-type"]) + draw.choice([" = ", "=", ": "]), " ", 0),
+        ]
+        rows += [(v, b, a, path, label) for v, b, a, label in mine]
     return rows
 
 
