@@ -5,8 +5,11 @@ joined). Landmarks are word beginnings that mark sentences of toxic documents, m
 next one covers the most toxic documents that the ones before leave uncovered, against the clean ones. A word
 is compared with a landmark by the gap-weighted subsequence kernel of order 3, normalised, at its best
 window of up to three letters more than the landmark, so inserted letters and gaps lower the value instead of
-hiding the match. Windows that lack a letter of the landmark count as 0. Short landmarks are easily met by chance: one of up to
-five letters must begin the word (a mark is set before both), one of four takes no gaps.
+hiding the match. A window no longer than the landmark may lack one of its letters, at the lower value that the kernel gives it;
+those that lack more, or a letter beside gaps, count as 0. Short landmarks are easily met by chance: the beginning of the word counts as a letter of one of up to
+five letters (a mark is set before both), so that it may be glued behind other letters, but at a lower value.
+Damaged landmarks (a letter or the beginning lacks, or there are gaps in one of four letters) are features of their own, so
+what they are worth is left to the machine, which also learns landmarks with a letter slipped in or left out and glued ones.
 Nyström features, the kernel values times the inverse root of the landmarks' own kernel matrix, go into a
 squared-hinge support vector machine over words. A document is scored from its best sentence and from how
 many sentences hold a word on the toxic side, through a logistic curve fitted on the same labelled rows.
@@ -126,36 +129,41 @@ class KernelMap:
         return out
 
     def __call__(self, words: list[str]) -> np.ndarray:
-        """(words, landmarks) values; a word over ``WIDTH`` letters takes its best over overlapping parts."""
+        """(words, twice the landmarks) values: of windows with all letters in place, then of other words' damaged ones.
+
+        A word over ``WIDTH`` letters takes its best over overlapping parts.
+        """
         parts, owner = [], []
         for i, word in enumerate(words):
             word = START + word
             for at in range(0, max(1, len(word) - WIDTH + STRIDE), STRIDE) if len(word) > WIDTH else (0,):
                 parts.append(word[at : at + WIDTH])
                 owner.append(i)
-        out = np.zeros((len(words), len(self.landmarks)))
+        count = len(self.landmarks)
+        out = np.zeros((len(words), 2 * count))
         if not parts or not self.landmarks:
             return out
         owner, codes = np.array(owner), self._codes(parts, WIDTH)
         sizes = (codes > 0).sum(axis=1)
         masks = np.bitwise_or.reduce(self.bits[codes], axis=1)
-        for lo, hi in ((MIN_LANDMARK, 8), (8, STRIDE), (STRIDE, WIDTH)):
+        for lo, hi in ((MIN_LANDMARK - 1, 8), (8, STRIDE), (STRIDE, WIDTH)):
             rows = np.flatnonzero((sizes > lo) & (sizes <= hi))
             if len(rows):
                 self._fill(out, codes[rows, :hi], sizes[rows], masks[rows], owner[rows])
+        out[:, count:][out[:, :count] > 0] = 0
         return out
 
     def _fill(self, out: np.ndarray, codes: np.ndarray, sizes: np.ndarray, masks: np.ndarray, owner: np.ndarray) -> None:
         """Values of words of similar length: letters present, then common subsequence, then the kernel on windows."""
         for k, (landmark, own_codes, mask, table, own) in enumerate(zip(self.landmarks, self.coded, self.masks, self.tables, self.own, strict=True)):
             size = len(own_codes)
-            rows = np.flatnonzero((mask & ~masks == 0) & (sizes >= size))
-            rows = rows[common_length(codes[rows], table, size) == size]
+            need = size - 1
+            rows = np.flatnonzero((np.bitwise_count(mask & ~masks) <= 1) & (sizes >= need))
+            rows = rows[common_length(codes[rows], table, size) >= need]
             if not len(rows):
                 continue
             views, whose = [], []
-            slack = SLACK if len(landmark) > MIN_LANDMARK else 0
-            for width in range(size, min(size + slack, codes.shape[1]) + 1):
+            for width in range(need, min(size + SLACK, codes.shape[1]) + 1):
                 for at in range(codes.shape[1] - width + 1):
                     fit = rows[sizes[rows] >= at + width]
                     view = np.zeros((len(fit), size + SLACK), dtype=np.uint8)
@@ -163,10 +171,12 @@ class KernelMap:
                     views.append(view)
                     whose.append(fit)
             view, fit = np.concatenate(views), np.concatenate(whose)
-            near = common_length(view, table, size) == size
+            shared, longer = common_length(view, table, size), (view > 0).sum(axis=1) > size
+            near = shared >= np.where(longer, size, need)
+            whole = ((shared == size) & (~longer | (len(landmark) > MIN_LANDMARK)))[near]
             view, fit = view[near], fit[near]
             value = gap_kernel(view, np.broadcast_to(own_codes, (len(view), size))) / np.sqrt(gap_kernel(view, view) * own + 1e-12)
-            np.maximum.at(out[:, k], owner[fit], value)
+            np.maximum.at(out, (owner[fit], np.where(whole, k, len(self.landmarks) + k)), value)
 
 
 def words_of(sentence: str) -> list[str]:
@@ -228,13 +238,13 @@ def mine_landmarks(toxic: list[set[str]], clean: Iterator[set[str]], n_clean: in
 
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Weights (the last one the bias) of a linear machine, by Newton steps on the active rows."""
+    """Weights (the last one the bias) of a linear machine, by Newton steps on the active rows; ``y``: side and margin wanted."""
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
     keep = np.eye(len(w)) * ridge
     keep[-1, -1] = 1e-6
     for _ in range(50):
-        on = y * (x @ w) < 1
+        on = y * (x @ w) < y * y
         a = x[on] * weight[on, None]
         new = np.linalg.solve(keep + a.T @ x[on], a.T @ y[on])
         if np.allclose(new, w, atol=1e-9):
@@ -275,9 +285,11 @@ class ToxicModel:
         self.kernel = KernelMap(mine_landmarks(list(bags(toxic)), bags(clean), len(clean)))
         if not self.kernel.landmarks:
             return
+        count = len(self.kernel.landmarks)
         own = self.kernel(self.kernel.landmarks)
+        own = own[:, :count] + own[:, count:]
         value, vector = np.linalg.eigh((own + own.T) / 2)
-        root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-2))) @ vector.T
+        root = np.kron(np.eye(2), vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-2))) @ vector.T)
         near: dict[str, list] = {}  # words with a value other than 0: values, documents that hold them by class
         for label, texts in enumerate((clean, toxic)):
             for at in range(0, len(texts), 100):
@@ -291,11 +303,17 @@ class ToxicModel:
                         near[word][1 + label] += 1
         values = np.array([v[0] for v in near.values()])
         counts = np.array([v[1:] for v in near.values()]) / [len(clean), len(toxic)]
-        # landmarks with a letter slipped in stand for the spellings that the sample lacks
-        slipped = self.kernel([w[:i] + c + w[i:] for w in self.kernel.landmarks if len(w) > MIN_LANDMARK for i in range(1, len(w)) for c in "xh"])
+        # landmarks with a letter slipped in or left out and glued ones stand for the spellings that the sample lacks
+        forms = set()
+        for w in self.kernel.landmarks:
+            forms.update(w[:i] + c + w[i:] for i in range(1, len(w)) for c in "xh")
+            forms.update(w[:i] + w[i + 1 :] for i in range(1, len(w) - 1))
+            forms.update(("you" + w, "bigfat" + w))
+        slipped = self.kernel(sorted(w for w in forms if w not in near or not near[w][1]))
         x = np.concatenate([values, values, slipped, np.zeros((1, values.shape[1]))]) @ root
-        y = np.concatenate([np.full(len(values), -1.0), np.ones(len(values) + len(slipped)), [-1.0]])
-        weight = np.concatenate([counts[:, 0], counts[:, 1], np.full(len(slipped), counts[:, 1].sum() / max(1, len(slipped))), [1.0]]) * 100
+        intact = slipped[:, :count].any(axis=1)
+        y = np.concatenate([np.full(len(values), -1.0), np.where(values[:, :count].max(axis=1, initial=0) > 0.999, 2.0, 1.0), np.ones(len(slipped)), [-1.0]])
+        weight = np.concatenate([counts[:, 0], counts[:, 1], np.where(intact, 1.0, 0.1) * counts[:, 1].sum() / np.where(intact, max(1, intact.sum()), max(1, (~intact).sum())), [1.0]]) * 100
         w = squared_hinge(x, y, weight)
         self.alpha, self.bias = root @ w[:-1], w[-1]
         self.limit = CACHE // 10

@@ -105,3 +105,30 @@ def test_awkward_rows_and_labels(spark):
     assert tox.score_documents(empty(spark), labels).count() == 0
     kept = tox.drop_toxic(awkward(spark), labels.filter(F.lit(False)))
     assert kept.columns == awkward(spark).columns and kept.count() == len(awkward_rows())
+
+
+def test_damaged_short_insults_have_lower_values():
+    kernel = tox.KernelMap(["scum", "idiot", "worthless"])
+    for k, word, forms in [(0, "scum", ["scxum", "youscum", "bigfatscum", "scm"]), (1, "idiot", ["idxiot", "bigfatidiot", "idot", "idxot"]), (2, "worthless", ["wrthless", "worxthless", "bigworthless"])]:
+        assert kernel([word])[0, k] > 0.999
+        for form in forms:
+            value = max(kernel([form])[0, [k, 3 + k]])
+            assert 0.2 < value < (1.0001 if form == "bigworthless" else 0.999), form
+    assert not kernel(["um", "dot", "table", "less"]).any()
+
+
+def test_damaged_short_insults_in_fresh_documents():
+    rng = np.random.RandomState(5)
+    insults, texts, labels = ["glup", "frumk", "zwabby"], [], []
+    for i in range(240):
+        words = ["".join(rng.choice(list("aeionrst"), 5)) for _ in range(30)]
+        if i % 4 == 0:
+            words[rng.randint(30)] = insults[i // 4 % 3]
+        texts.append(" ".join(words) + ".")
+        labels.append(int(i % 4 == 0))
+    m = tox.ToxicModel(texts, labels)
+    fresh = " ".join("".join(rng.choice(list("aeionrst"), 5)) for _ in range(12))
+    clean = m.scores([fresh])[0]
+    forms = ["glup", "glxup", "youglup", "bigfatglup", "gl*p", "frumk", "frxumk", "bigfatfrumk", "fr*mk", "frmk", "zwabby", "zw*bby"]
+    for form, score in zip(forms, m.scores([f"{fresh} {form} {fresh}" for form in forms]), strict=True):
+        assert score > max(0.05, 100 * clean), form
