@@ -132,3 +132,10 @@ def test_damaged_short_insults_in_fresh_documents():
     forms = ["glup", "glxup", "youglup", "bigfatglup", "gl*p", "frumk", "frxumk", "bigfatfrumk", "fr*mk", "frmk", "zwabby", "zw*bby"]
     for form, score in zip(forms, m.scores([f"{fresh} {form} {fresh}" for form in forms]), strict=True):
         assert score > max(0.05, 100 * clean), form
+
+
+def test_training_takes_two_thousand_documents_a_class():
+    import inspect
+
+    for f in (tox.train, tox.score_documents, tox.drop_toxic):
+        assert inspect.signature(f).parameters["max_docs"].default == 2000
