@@ -12,17 +12,20 @@ from driftwright.operators.selection import capped_sample
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+# queries over whole tables where the inventory's query takes a sample, kept apart from the inventory
+WHOLE: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+WHOLE_ORACLES: dict[str, str] = {}
 
 YEARS, MONTHS, TARGET = (2022, 2023, 2024, 2025, 2026), range(1, 8), 12
 
 
-def query(sql: str | None):
+def query(sql: str | None, queries: dict = QUERIES, oracles: dict = ORACLES):
     """Register a function under its name, with its SQL if there is one."""
 
     def register(f):
-        QUERIES[f.__name__] = f
+        queries[f.__name__] = f
         if sql is not None:
-            ORACLES[f.__name__] = sql
+            oracles[f.__name__] = sql
         return f
 
     return register

@@ -11,7 +11,7 @@ from driftwright.operators import pairs as pr
 from driftwright.operators.selection import top_per_group
 
 from .audit_queries import described
-from .base import MEASURED, articles, manifest, manifest_sql, measured, query, table
+from .base import MEASURED, WHOLE, WHOLE_ORACLES, articles, manifest, manifest_sql, measured, query, table
 
 PAIRS = f"""{MEASURED}, {manifest_sql('measured')}, sample AS (SELECT idx, year, month, author, bigram FROM manifest),
 pairs AS (SELECT a.idx AS idx_a, b.idx AS idx_b, a.year AS year_a, b.year AS year_b, a.year = b.year AS same_year, a.author = b.author AS same_author,
@@ -97,3 +97,14 @@ def loo_1nn_confusion(spark, d):
     return pr.nearest_other(found, "idx", "label", "dist").groupBy("actual", "predicted").agg(F.count("*").alias("n"))
 
 
+@query(
+    """WITH p AS (SELECT a.vec_id, a.label AS actual, b.vec_id AS other, b.label AS predicted, round(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: power(CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE), 2)))), 6) AS dist FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+n AS (SELECT vec_id, actual, arg_min(predicted, (dist, other)) AS predicted FROM p GROUP BY 1, 2)
+SELECT actual, predicted, count(*) AS n FROM n GROUP BY 1, 2""",
+    WHOLE,
+    WHOLE_ORACLES,
+)
+def loo_1nn_all(spark, d):
+    """The same over every vector of the table, each against all others."""
+    found = pr.nearest_in_blocks(table(spark, d, "embeddings"), "vec_id", "label", "embedding")
+    return found.groupBy("actual", "predicted").agg(F.count("*").alias("n"))

@@ -5,6 +5,9 @@ import random
 import zlib
 from collections import defaultdict
 
+import duckdb
+
+from driftwright import plans
 from driftwright.operators import pairs as pr
 from driftwright.operators import selection as sel
 
@@ -92,3 +95,24 @@ def test_counterpart_excludes_both_of_a_match(spark):
 def test_first_last_by_explicit_order(spark):
     rows = spark.createDataFrame([("s", 2, "b"), ("s", 1, "z"), ("s", 3, "a")], "s string, pos int, loc string").repartition(3)
     assert tuple(pr.first_last(rows, ["s"], "loc", "pos").first()) == ("s", "z", "a")
+
+
+def test_nearest_in_blocks_matches_brute_force(spark):
+    rows = [(i, "abc"[i % 3], [float((i * 7 + k * k) % 11) for k in range(4)]) for i in range(60)] + [(None, "a", [0.0] * 4), (99, "a", None)]
+    table = spark.createDataFrame(rows, "vec_id long, label string, embedding array<float>")
+    got = {r["idx"]: (r["dist"], r["other"], r["predicted"]) for r in pr.nearest_in_blocks(table, "vec_id", "label", "embedding", block=7).collect()}
+    whole = [r for r in rows if r[0] is not None and r[2] is not None]
+    assert got == {i: min((round(sum((x - y) ** 2 for x, y in zip(v, w, strict=True)) ** 0.5, 6), j, m) for j, m, w in whole if j != i) for i, _, v in whole}
+
+
+def test_nearest_neighbours_of_every_vector(spark):
+    sf = "/root/testdata/sf0.1"
+    found = plans.WHOLE["loo_1nn_all"](spark, sf)
+    assert found.agg({"n": "sum"}).first()[0] == spark.read.parquet(f"{sf}/embeddings.parquet").count()
+
+
+def test_whole_queries_equal_sql(spark, sf):
+    session = duckdb.connect()
+    session.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
+    for name, sql in plans.WHOLE_ORACLES.items():
+        assert sorted(tuple(r) for r in plans.WHOLE[name](spark, sf).collect()) == sorted(session.sql(sql).fetchall())
