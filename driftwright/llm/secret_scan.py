@@ -7,8 +7,8 @@ findings (``labelled_findings()`` makes a seeded set; another can be passed), wh
 same expressions, and its trees become nested conditions. Scanning is one projection of built-in functions.
 
 Offsets count code points from 0. Null and empty texts have no findings; a null path is an empty one. Repeated rows are
-scanned each; an empty table gives no rows. Whole texts are scanned; a text with very many candidates costs
-the square of their number in copying their offsets.
+scanned each; an empty table gives no rows. Whole texts are scanned, in time linear in the text and its candidates.
+The neighbourhood of a candidate is the ``AROUND`` characters before it and the 8 after it, as far as the next candidates.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 
-NAME = r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)s?"
+NAME = r"(?=[acpstACPST])(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)s?"
 TO_VALUE = NAME + r"(?:[_-][A-Za-z0-9]{1,40}+){0,8}+[\"']?\s{0,3}[:=]\s{0,3}"
 LEAD = TO_VALUE + r"[\"']?(?=[\s\S])"
 RUN = r"[A-Za-z0-9+/_-]"
@@ -29,22 +29,32 @@ RUN = r"[A-Za-z0-9+/_-]"
 QUOTED = "|".join(rf"{q}(?:[^{q}\\\s]|\\\S){{6,}}+(?={q})|{q}(?![^{q}\r\n]*{RUN}{{16}})(?:[^{q}\\\r\n]|\\.){{6,}}+(?={q})" for q in "\"'")
 # to a space, quote or separator, or to the next parameter of a query string
 BARE = r"[\"']?(?:[^\s\"',;<>&]|&(?![\w.-]{1,40}=)){6,}+"
-CANDIDATE = rf"{TO_VALUE}(?:{QUOTED}|{BARE})|(?<!{RUN})(?=[A-Za-z+/_-]*+[0-9]){RUN}{{16,}}(?:={{1,2}}(?![A-Za-z0-9+/=_-]))?"
+CANDIDATE = rf"{TO_VALUE}(?:{QUOTED}|{BARE})|(?<!{RUN})(?={RUN}{{16}})(?=[A-Za-z+/_-]*+[0-9]){RUN}{{16,}}(?:={{1,2}}(?![A-Za-z0-9+/=_-]))?"
 AROUND = 48
 
-# Words whose presence in a candidate, before it or in its path says something about it.
+# Common words of prose and of programs; parts of names and paths that say something about a candidate.
 DICTIONARY = (
     "example sample dummy changeme placeholder your here test demo default value string name user admin password secret token key "
     "file path image data index main config version release build commit order item page section chapter number license public general "
-    "the and for with that this from have not are was will can all one time year work world hand part place case week company system"
+    "the and for with that this from have not are was will can all one time year work world hand part place case week company system "
+    "about after again also because before between both come could day each even every first get give good great group high into just know "
+    "last life like little long look make many more most much must need new next number old only other our out over own people point "
+    "problem right same see seem should show since small some state still such take than their them then there these they thing think "
+    "through under until very want water way well what when where which while who why without word would write "
+    "account action address client code color column content count create current database date delete description document element email "
+    "error event field filter format function header height icon info input item length level link list local log login map message method "
+    "model module node note object option output package parent password product project property query record request response result role "
+    "root route schema script search select server service session setting size source start status string style table target task template "
+    "title total type update upload url user uuid value view width window"
 ).split()
 HINTS = "token|secret|passw|pwd|passphrase|api.?key|access.?key|auth|bearer|credential|private"
 BENIGN = "commit|sha|hash|checksum|digest|uuid|guid|version|isbn|phone|card|order|invoice|example|sample|etag|revision|image|png|page"
 TEST_PATH = "test|example|fixture|sample|mock|doc"
+CONFIG_PATH = r"\.(?:env|ini|cfg|conf|ya?ml|toml|json|properties|pem|tf)$|(?:^|/)(?:conf|config|deploy|settings|secrets?)(?:/|$)"
 
 FEATURES = (
     "length", "class_changes", "letter_digit", "case_changes", "vowel_turns", "digit_share", "upper_share", "sign_share", "hexadecimal", "distinct_share",
-    "dictionary_share", "slashes", "extension", "test_path", "hinted", "benign", "assigned", "quoted", "repeats",
+    "dictionary_share", "slashes", "extension", "test_path", "config_path", "path_depth", "hinted", "benign", "assigned", "quoted", "repeats",
 )
 
 
@@ -78,6 +88,8 @@ def features(value: Column, before: Column, after: Column, path: Column) -> dict
         "slashes": count("/"),
         "extension": has(value, r"\.[A-Za-z]{2,4}$|^[\w/-]+/[\w-]+$"),
         "test_path": has(F.lower(path), TEST_PATH),
+        "config_path": has(F.lower(path), CONFIG_PATH),
+        "path_depth": F.regexp_count(path, F.lit("/")),
         "hinted": has(small, HINTS),
         "benign": has(small, BENIGN),
         "assigned": has(before, r"[:=]\s{0,3}[\"']?$"),
@@ -107,8 +119,8 @@ def labelled_findings(seed: int = 11, rounds: int = 90) -> list[tuple[str, str,
 
     rows = []
     for _ in range(rounds):
-        path = draw.choice(["src0", "src7", "app/main", "conf", "web"])
-        fake = draw.choice(["src3", "tests/fixture", "docs/example", "src1"])
+        path = draw.choice(["src0", "src7", "app/main", "conf", "web", "deploy/prod.env", "settings.yml"])
+        fake = draw.choice(["src3", "tests/fixture", "docs/example", "src1", "web/static/index.html"])
         secrets = [
             (of(hexa, draw.choice([32, 40, 64])), lead()), (of(word, draw.randint(20, 48)), lead()), ("AKIA" + of(up + dig, 16), draw.choice([lead(), plain()])),
             ("ghp_" + of(word, 36), draw.choice([lead(), plain()])), ("sk_live_" + of(word, 24), draw.choice([lead(), plain()])), ("eyJ" + of(word, 40) + "_" + of(word, 30), draw.choice([lead(), "Bearer "])),
@@ -126,7 +138,7 @@ def labelled_findings(seed: int = 11, rounds: int = 90) -> list[tuple[str, str,
         rows += [(v, b, " ", draw.choice([path, fake]), 0) for v, b in others]
     draw = random.Random(seed + 1)  # values glued to other names, in query strings and with any sign in quotes
     for _ in range(rounds):
-        path = draw.choice(["src0", "src7", "app/main", "conf", "web"])
+        path = draw.choice(["src0", "src7", "app/main", "conf", "web", "deploy/prod.env", "settings.yml"])
 
         def env(names: str) -> str:
             return draw.choice(["", "export ", "ENV ", plain()]) + draw.choice(names.split()) + "="
@@ -155,16 +167,21 @@ def grow_tree(x: np.ndarray, y: np.ndarray, draw: np.random.RandomState, depth:
         return (y.sum() + 0.5) / (len(y) + 1.0)
     best = None
     for k in draw.choice(x.shape[1], per_split, replace=False):
-        values = np.unique(x[:, k])
-        for cut in (values[1:] + values[:-1]) / 2 if len(values) <= 24 else np.quantile(x[:, k], np.linspace(0.04, 0.96, 24)):
-            low = x[:, k] <= cut
-            n, m = low.sum(), (~low).sum()
-            if n < 2 or m < 2:
-                continue
-            p, q = y[low].mean(), y[~low].mean()
-            loss = n * p * (1 - p) + m * q * (1 - q)
-            if best is None or loss < best[0]:
-                best = loss, k, float(cut)
+        order = np.argsort(x[:, k], kind="stable")
+        ranked, hits = x[order, k], np.concatenate([[0], np.cumsum(y[order])])
+        values = np.unique(ranked)
+        cuts = (values[1:] + values[:-1]) / 2 if len(values) <= 24 else np.quantile(ranked, np.linspace(0.04, 0.96, 24))
+        n = np.searchsorted(ranked, cuts, "right")
+        m = len(y) - n
+        fit = (n >= 2) & (m >= 2)
+        if not fit.any():
+            continue
+        cuts, n, m = cuts[fit], n[fit], m[fit]
+        p, q = hits[n] / n, (hits[-1] - hits[n]) / m
+        loss = n * p * (1 - p) + m * q * (1 - q)
+        at = int(loss.argmin())
+        if best is None or loss[at] < best[0]:
+            best = loss[at], k, float(cuts[at])
     if best is None:
         return (y.sum() + 0.5) / (len(y) + 1.0)
     _, k, cut = best
@@ -181,19 +198,16 @@ def grow_forest(x: np.ndarray, y: np.ndarray, trees: int = 16, depth: int = 6, s
     return forest
 
 
-def compile_forest(forest: list, values: dict[str, Column]) -> Column:
-    """Mean vote as nested conditions."""
+def compile_forest(forest: list, row: str = "") -> str:
+    """Mean vote as nested conditions, in SQL, on the features of a row or of a struct (``row`` then ends in a dot)."""
 
-    def branch(node) -> Column:
+    def branch(node) -> str:
         if not isinstance(node, tuple):
-            return F.lit(float(node))
+            return f"{float(node)!r}D"
         k, cut, low, high = node
-        return F.when(values[FEATURES[k]] <= cut, branch(low)).otherwise(branch(high))
+        return f"CASE WHEN {row}{FEATURES[k]} <= {float(cut)!r}D THEN {branch(low)} ELSE {branch(high)} END"
 
-    total = branch(forest[0])
-    for tree in forest[1:]:
-        total = total + branch(tree)
-    return total / len(forest)
+    return f"({' + '.join(map(branch, forest))}) / {len(forest)}"
 
 
 _grown: list = []
@@ -212,66 +226,91 @@ def train(spark: SparkSession, findings: list[tuple[str, str, str, str, int]] |
     return forest
 
 
-def find_secrets(docs: DataFrame, forest: list, text_col: str = "text", path_col: str = "source", threshold: float = 0.5) -> DataFrame:
-    """Add ``findings``: array of (start, length, value, score, is_secret), null when there is no candidate."""
-    rows = docs.withColumn("found_values", F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(CANDIDATE), F.lit(0)))
-    rows = rows.withColumn("found_gaps", F.when(F.size("found_values") > 0, F.split(text_col, CANDIDATE, -1)))
+CHUNK = 512
+FOUND = "array<struct<start: int, size: int, value: string, before: string, after: string>>"
+
+
+def _running(lengths: str) -> Column:
+    """Sums of all earlier elements of an array of ints: those of whole chunks, then those inside each.
+
+    ``array_append`` copies its array, so one walk over n elements would copy n squared of them. One-element
+    transforms bind an array to a name, so that it is made once and not for every element.
+    """
+    walk = "aggregate({}, named_struct('at', {}, 'out', cast(array() AS array<int>)), (a, x) -> named_struct('at', a.at + x, 'out', array_append(a.out, a.at)), a -> a.out)"
+    chunks = f"transform(array({lengths}), l -> transform(sequence(0, (size(l) - 1) div {CHUNK}), i -> slice(l, i * {CHUNK} + 1, {CHUNK})))[0]"
+    starts = walk.format("transform(c, x -> aggregate(x, 0, (t, y) -> t + y))", "0")
+    return F.expr(f"transform(array({chunks}), c -> flatten(zip_with(c, {starts}, (p, o) -> {walk.format('p', 'o')})))[0]")
+
+
+def _with_candidates(rows: DataFrame) -> DataFrame:
+    """Add to rows of (text, ...) ``pieces`` (gap, head, whole) of every candidate in order, the text after the last one
+    as ``tail``, and ``found`` (start, size, value, before, after). Each step is linear in the text and its candidates."""
+    rows = rows.withColumn("wholes", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)))
+    rows = rows.withColumn("gaps", F.when(F.size("wholes") > 0, F.split("text", CANDIDATE, -1)))
+    rows = rows.withColumns({"gap": F.slice("gaps", 1, F.size("wholes")), "next": F.slice("gaps", 2, F.size("wholes")), "tail": F.element_at("gaps", -1)})
     pieces = F.transform(
-        F.sequence(F.lit(0), F.size("found_values") - 1),
-        lambda i: F.struct(
-            F.get("found_values", i).alias("whole"),
-            F.regexp_extract(F.get("found_values", i), "^" + LEAD, 0).alias("head"),
-            F.get("found_gaps", i).alias("gap"),
-            F.substr(F.get("found_gaps", i + 1), F.lit(1), F.lit(8)).alias("after"),
-        ),
-    )
-    rows = rows.withColumn("found_pieces", F.when(F.size("found_values") > 0, pieces))
-    starts = F.expr(
-        "aggregate(found_pieces, named_struct('at', 0, 'starts', cast(array() AS array<int>)), (a, p) -> named_struct("
-        "'at', a.at + length(p.gap) + length(p.whole), 'starts', array_append(a.starts, a.at + length(p.gap) + length(p.head))), a -> a.starts)"
+        F.arrays_zip("wholes", "gap", "next"),
+        lambda p: F.struct(p["wholes"].alias("whole"), F.regexp_extract(p["wholes"], "^" + LEAD, 0).alias("head"), p["gap"].alias("gap"), F.substr(p["next"], F.lit(1), F.lit(8)).alias("after")),
     )
-    rows = rows.withColumn("found_starts", starts)
-    path = F.coalesce(F.col(path_col).cast("string"), F.lit(""))
+    rows = rows.withColumn("pieces", pieces).drop("wholes", "gaps", "gap", "next")
+    rows = rows.withColumn("starts", _running("transform(pieces, p -> length(p.gap) + length(p.whole))"))
+
+    def described(p: Column, at: Column) -> Column:
+        value = F.substr(p["whole"], F.length(p["head"]) + 1)
+        before = F.right(F.concat(F.right(p["gap"], F.lit(AROUND)), p["head"]), F.lit(AROUND))
+        return F.struct((at + F.length(p["gap"]) + F.length(p["head"])).alias("start"), F.length(value).alias("size"), value.alias("value"), before.alias("before"), p["after"].alias("after"))
+
+    return rows.withColumn("found", F.zip_with("pieces", "starts", described)).drop("starts")
 
-    def described(piece: Column, i: Column) -> Column:
-        value = F.substr(piece["whole"], F.length(piece["head"]) + 1)
-        before = F.right(F.concat(piece["gap"], piece["head"]), F.lit(AROUND))
-        values = features(value, before, piece["after"], path)
-        return F.struct(F.get("found_starts", i).alias("start"), F.length(value).alias("size"), value.alias("value"), *[c.alias(n) for n, c in values.items()])
 
-    rows = rows.withColumn("found_features", F.transform("found_pieces", described))
+def _measured(found: Column, path: Column) -> Column:
+    """(start, size, value, features) of every candidate of an array."""
 
-    def judged(found: Column) -> Column:
-        score = compile_forest(forest, {n: found[n] for n in FEATURES})
-        return F.struct(found["start"].alias("start"), found["size"].alias("size"), found["value"].alias("value"), score.alias("score"), (score >= threshold).alias("is_secret"))
+    def measured(f: Column) -> Column:
+        return F.struct(f["start"], f["size"], f["value"], *[c.alias(n) for n, c in features(f["value"], f["before"], f["after"], path).items()])
 
-    rows = rows.withColumn("findings", F.transform("found_features", judged))
-    return rows.drop("found_values", "found_gaps", "found_pieces", "found_starts", "found_features")
+    return F.transform(found, measured)
 
 
-def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
+def _scored(measured: str, forest: list, threshold: float) -> Column:
+    scored = f"transform({measured}, f -> named_struct('start', f.start, 'size', f.size, 'value', f.value, 'score', {compile_forest(forest, 'f.')}))"
+    return F.expr(f"transform({scored}, f -> named_struct('start', f.start, 'size', f.size, 'value', f.value, 'score', f.score, 'is_secret', f.score >= {float(threshold)!r}D))")
+
+
+def _path(path_col: str) -> Column:
+    return F.coalesce(F.col(path_col).cast("string"), F.lit(""))
+
+
+def find_secrets(docs: DataFrame, forest: list, text_col: str = "text", path_col: str = "source", threshold: float = 0.5) -> DataFrame:
+    """Add ``findings``: array of (start, size, value, score, is_secret), null when there is no candidate; a column of that name gives way."""
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), _path(path_col).alias("path"))
+    rows = _with_candidates(rows).withColumn("found", _measured(F.col("found"), F.col("path"))).withColumn("findings", _scored("found", forest, threshold))
+    return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "findings"], "findings")
+
+
+def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", threshold: float = 0.5) -> DataFrame:
     """One row per candidate: doc_id, its number in the text, start, size, SHA-256 of the value, score, is_secret."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(path_col).alias("path"))
-    rows = find_secrets(rows, train(docs.sparkSession), path_col="path").filter("findings IS NOT NULL")
-    rows = rows.select("doc_id", F.posexplode("findings").alias("candidate", "f"))
-    return rows.select("doc_id", "candidate", "f.start", "f.size", F.sha2("f.value", 256).alias("value_sha256"), F.round("f.score", 6).alias("score"), "f.is_secret")
+    forest = train(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), _path(path_col).alias("path"))
+    # candidates become rows before they are judged; of a bare column, a filter on its size would be inferred and make it twice
+    rows = _with_candidates(rows).select("doc_id", "path", F.posexplode(F.coalesce("found", F.array().cast(FOUND))).alias("candidate", "f"))
+    rows = rows.select("doc_id", "candidate", "path", "f.*")
+    rows = rows.select("doc_id", "candidate", "start", "size", "value", *[c.alias(n) for n, c in features(F.col("value"), F.col("before"), F.col("after"), F.col("path")).items()])
+    rows = rows.select("doc_id", "candidate", "start", "size", "value", F.expr(compile_forest(forest)).alias("score"))
+    return rows.select("doc_id", "candidate", "start", "size", F.sha2("value", 256).alias("value_sha256"), F.round("score", 6).alias("score"), (F.col("score") >= threshold).alias("is_secret"))
 
 
-def redact_documents(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+def redact_documents(docs: DataFrame, mark: str = "[SECRET]", threshold: float = 0.5) -> DataFrame:
     """All rows and columns; confirmed secrets in ``text`` give way to a mark and ``n_chars`` follows."""
     columns = docs.columns
-    rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("body"), F.col("source").alias("path"))
-    rows = find_secrets(rows, train(docs.sparkSession), text_col="body", path_col="path")
-    secret = F.filter("findings", lambda f: f["is_secret"])
-    spread = (
-        "aggregate(secrets, named_struct('at', 1, 'out', cast(array() AS array<string>)), (a, f) -> named_struct("
-        f"'at', f.start + f.size + 1, 'out', array_append(a.out, concat(substring(body, a.at, f.start + 1 - a.at), '{mark}'))), "
-        "a -> concat(array_join(a.out, ''), substring(body, a.at)))"
-    )
-    rows = rows.withColumn("secrets", secret).withColumn("clean", F.when(F.size("secrets") > 0, F.expr(spread)).otherwise(F.col("body")))
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"), _path("source").alias("path"))
+    rows = _with_candidates(rows).withColumn("found", _measured(F.col("found"), F.col("path"))).withColumn("findings", _scored("found", train(docs.sparkSession), threshold))
+    rows = rows.withColumn("secret", F.exists("findings", lambda f: f["is_secret"]))
+    parts = F.zip_with("pieces", "findings", lambda p, f: F.concat(p["gap"], F.when(f["is_secret"], F.concat(p["head"], F.lit(mark))).otherwise(p["whole"])))
+    rows = rows.withColumn("clean", F.when(F.col("secret"), F.concat(F.array_join(parts, ""), F.col("tail"))).otherwise(F.col("row.text")))
     kept = {"text": F.col("clean")}
     if "n_chars" in columns:
-        kept["n_chars"] = F.when(F.size("secrets") > 0, F.length("clean").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("row.n_chars"))
+        kept["n_chars"] = F.when(F.col("secret"), F.length("clean").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("row.n_chars"))
     return rows.select(*[kept.get(c, F.col("row")[c]).alias(c) for c in columns])
 
 

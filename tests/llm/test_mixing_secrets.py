@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -131,7 +132,8 @@ def test_forest_generalises_and_compiles(spark):
     forest = secret_scan.train(spark)
     fresh = spark.createDataFrame(secret_scan.labelled_findings(seed=77, rounds=25), "value string, before string, after string, path string, label int")
     values = secret_scan.features(F.col("value"), F.col("before"), F.col("after"), F.col("path"))
-    table = fresh.select("label", secret_scan.compile_forest(forest, values).alias("s"), *[values[n].alias(n) for n in secret_scan.FEATURES]).collect()
+    table = fresh.select("label", *[values[n].alias(n) for n in secret_scan.FEATURES])
+    table = table.select("*", F.expr(secret_scan.compile_forest(forest)).alias("s")).collect()
 
     def vote(node, row):
         return node if not isinstance(node, tuple) else vote(node[2] if row[secret_scan.FEATURES[node[0]]] <= node[1] else node[3], row)
@@ -183,3 +185,85 @@ def test_long_values_do_not_exhaust_the_matcher(spark):
     docs = spark.createDataFrame([(1, text, "src1")], "doc_id long, text string, source string")
     found = secret_scan.find_secrets(docs, secret_scan.train(spark)).first()["findings"]
     assert [(f["start"], f["size"]) for f in found] == [(7, 1_000_000), (1_000_016, 800_000)]
+
+
+def test_running_sums_across_chunks(spark):
+    sizes = [0, 1, 511, 512, 513, 1024, 3000]
+    rows = spark.createDataFrame([([i % 7 for i in range(n)],) for n in sizes], "l array<int>")
+    for r in rows.select("l", secret_scan._running("l").alias("r")).collect():
+        assert r["r"] == [sum(r["l"][:i]) for i in range(len(r["l"]))]
+
+
+def test_ten_thousand_candidates_in_one_text(spark):
+    """Keys at known places; a walk over the square of them would not end."""
+    draw = random.Random(3)
+    keys = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(30)) + "7" for _ in range(10_000)]
+    text = "\n".join(f"token={k}" for k in keys)
+    docs = spark.createDataFrame([(1, text, "src1", 5)], "doc_id long, text string, source string, n_chars long")
+    began = time.monotonic()
+    found = secret_scan.scan_documents(docs).orderBy("candidate").collect()
+    assert [(r["start"], r["size"]) for r in found] == [(38 * i + 6, 31) for i in range(10_000)]
+    assert [r["value_sha256"] for r in found] == [hashlib.sha256(k.encode()).hexdigest() for k in keys]
+    clean = secret_scan.redact_documents(docs).first()
+    kept = [k for k, r in zip(keys, found, strict=True) if not r["is_secret"]]
+    assert len(kept) < 100 and clean["text"].count("[SECRET]") == 10_000 - len(kept) and clean["n_chars"] == len(clean["text"])
+    assert time.monotonic() - began < 60
+
+
+def slow_features(value, before, after, path):
+    """The features by plain loops."""
+    import string
+
+    def kind(c):
+        return "a" if c in string.ascii_lowercase else "A" if c in string.ascii_uppercase else "0" if c in string.digits else "-"
+
+    kinds, n = [kind(c) for c in value], len(value)
+    turns = list(zip(kinds, kinds[1:]))
+    low = value.lower()
+    covered = at = 0
+    while at < n:
+        word = next((w for w in secret_scan.DICTIONARY if len(w) > 2 and low.startswith(w, at)), "")  # the first listed, as an alternation takes it
+        covered, at = covered + len(word), at + (len(word) or 1)
+    vowels, others = "aeiou", "bcdfghjklmnpqrstvwxyz"
+    stripped = before[:-1] if before[-1:] in ("'", '"') else before
+    gap = len(stripped) - len(stripped.rstrip())
+    return {
+        "length": n, "class_changes": sum(x != y and x != "-" for x, y in turns) / n, "letter_digit": sum((x in "aA") + (y in "aA") == 1 and "0" in (x, y) for x, y in turns) / n,
+        "case_changes": sum({x, y} == {"a", "A"} for x, y in turns) / n, "vowel_turns": sum(x in vowels and y in others for x, y in zip(low, low[1:])) / n,
+        "digit_share": kinds.count("0") / n, "upper_share": kinds.count("A") / n, "sign_share": kinds.count("-") / n,
+        "hexadecimal": float(all(c in string.hexdigits + "-" for c in value)), "distinct_share": len(set(value)) / n, "dictionary_share": covered / n, "slashes": value.count("/"),
+        "test_path": float(any(w in path.lower() for w in ("test", "example", "fixture", "sample", "mock", "doc"))), "path_depth": path.count("/"),
+        "assigned": float(stripped.rstrip()[-1:] in (":", "=") and stripped != "" and gap <= 3), "quoted": float(before[-1:] in ('"', "'", "`") and after[:1] in ('"', "'", "`") and before != "" and after != ""),
+        "repeats": sum(x == y for x, y in zip(value, value[1:])) / n,
+    }
+
+
+def test_features_and_findings_match_plain_python(spark, sf):
+    """Candidates by Python's own matcher on whole documents, features by loops, votes by walking the trees."""
+    forest = secret_scan.train(spark)
+    docs = [(r["doc_id"], r["text"], r["source"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    docs += [(-1 - i, t, "deploy/prod.env") for i, (t, _) in enumerate(GLUED)] + [(-100 - i, t, "tests/x") for i, t, _ in TEXTS]
+    got = secret_scan.scan_documents(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    want = {}
+    for i, text, path in docs:
+        matches = list(re.finditer(secret_scan.CANDIDATE, text or ""))
+        for k, m in enumerate(matches):
+            head = re.match(secret_scan.LEAD, m[0])
+            start = m.start() + (len(head[0]) if head else 0)
+            lo = max(start - 48, matches[k - 1].end() if k else 0)  # neighbours reach to the candidates on either side
+            hi = min(m.end() + 8, matches[k + 1].start() if k + 1 < len(matches) else len(text))
+            want[i, k] = (start, text[start : m.end()], text[lo:start], text[m.end() : hi], path or "")
+    assert {(r["doc_id"], r["candidate"]): (r["start"], r["size"]) for r in got} == {k: (v[0], len(v[1])) for k, v in want.items()} and len(want) > 20
+    rows = [(*key, *v[1:]) for key, v in want.items()]
+    values = secret_scan.features(F.col("value"), F.col("before"), F.col("after"), F.col("path"))
+    table = spark.createDataFrame(rows, "doc_id long, candidate int, value string, before string, after string, path string").select("*", *[values[n].alias(n) for n in secret_scan.FEATURES])
+
+    def vote(node, row):
+        return node if not isinstance(node, tuple) else vote(node[2] if row[secret_scan.FEATURES[node[0]]] <= node[1] else node[3], row)
+
+    scores = {(r["doc_id"], r["candidate"]): (r["score"], r["is_secret"]) for r in got}
+    for r in table.collect():
+        for name, value in slow_features(r["value"], r["before"], r["after"], r["path"]).items():
+            assert abs(r[name] - value) < 1e-12, (name, r["value"], r["before"])
+        score = sum(vote(t, r) for t in forest) / len(forest)
+        assert abs(scores[r["doc_id"], r["candidate"]][0] - score) < 2e-6 and scores[r["doc_id"], r["candidate"]][1] == (score >= 0.5)
