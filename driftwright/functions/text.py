@@ -1,6 +1,7 @@
 """Text expressions: normalisation, fixed windows, character n-gram statistics and HTML extraction.
 
-Everything that Spark can express is a built-in expression; Unicode NFKC and HTML parsing are Arrow-batched functions.
+Everything that Spark can express is a built-in expression; Unicode NFKC, counts of n-grams (sorted as whole numbers, several
+times cheaper than sorting strings in interpreted array functions) and HTML parsing are Arrow-batched functions.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ import unicodedata
 from collections.abc import Callable
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,10 +20,21 @@ from pyspark.sql.types import StringType
 WINDOW = 1000
 
 
+def normalized(text: str) -> str:
+    """NFKC, runs of Unicode white space to one space, no space at either end."""
+    return " ".join(unicodedata.normalize("NFKC", text).split())
+
+
+def _once(function):
+    """Marked non-deterministic, so that no filter on its result is pushed below it and evaluates it again."""
+    return function.asNondeterministic()
+
+
+@_once
 @F.pandas_udf(StringType())
 def normalize_text(text: pd.Series) -> pd.Series:
-    """NFKC, runs of Unicode white space to one space, no space at either end; null stays null."""
-    return text.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).split()))
+    """``normalized``; null stays null."""
+    return text.map(lambda t: None if t is None else normalized(t))
 
 
 @F.pandas_udf(StringType())
@@ -35,35 +48,78 @@ def window(text: Column, size: int = WINDOW) -> Column:
     return F.substring(text, 1, size)
 
 
-def with_ngram_stats(df: DataFrame, text_col: str, n: int, name: str) -> DataFrame:
-    """Add ``name``: struct(total, distinct, entropy) of overlapping character n-grams of ``text_col``.
+def gram_stats(text: str, n: int) -> tuple[int, int, float] | None:
+    """(total, distinct, entropy in bits) of the overlapping n-grams of code points; None for a text shorter than n.
 
-    The grams of a row are sorted inside the row and their runs counted in one pass, so that nothing is
-    exploded or shuffled. Entropy is in bits; a text shorter than n has no grams and null entropy.
+    Grams are whole numbers, three code points to a word; longer ones are built on the ranks of the shorter.
     """
-    grams = F.split(text_col, "")
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    total = len(points) - n + 1
+    if total < 1:
+        return None
+    grams = points[:total]
     for k in range(1, n):
-        grams = F.zip_with(
-            F.slice(grams, 1, F.greatest(F.size(grams) - 1, F.lit(0))),
-            F.slice(F.split(text_col, ""), k + 1, F.greatest(F.length(text_col) - k, F.lit(0))),
-            lambda a, b: F.concat(a, b),
-        )
-    sorted_col = f"_{name}_sorted"
-    df = df.withColumn(sorted_col, F.when(F.length(text_col) >= n, F.array_sort(grams)))
-    runs = (
-        f"aggregate({sorted_col}, named_struct('last', '', 'run', 0L, 'kinds', 0L, 'mass', 0D), "
-        "(a, g) -> IF(g = a.last, named_struct('last', g, 'run', a.run + 1L, 'kinds', a.kinds, 'mass', a.mass), "
-        "named_struct('last', g, 'run', 1L, 'kinds', a.kinds + 1L, 'mass', a.mass + IF(a.run > 1L, a.run * log2(a.run), 0D))), "
-        "a -> named_struct('kinds', a.kinds, 'mass', a.mass + IF(a.run > 1L, a.run * log2(a.run), 0D)))"
-    )
-    df = df.withColumn(f"_{name}_runs", F.expr(runs))
-    total = F.size(sorted_col).cast("long")
-    stats = F.struct(
-        total.alias("total"),
-        F.col(f"_{name}_runs.kinds").alias("distinct"),
-        (F.log2(total.cast("double")) - F.col(f"_{name}_runs.mass") / total).alias("entropy"),
-    )
-    return df.withColumn(name, F.when(F.col(sorted_col).isNotNull(), stats)).drop(sorted_col, f"_{name}_runs")
+        if k > 2:
+            grams = np.unique(grams, return_inverse=True)[1].astype(np.uint64)
+        grams = (grams << np.uint64(21)) | points[k : k + total]
+    grams = np.sort(grams)
+    runs = np.diff(np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1], [True]])))
+    many = runs[runs > 1].astype(np.float64)
+    return total, len(runs), float(np.log2(total) - (many * np.log2(many)).sum() / total)
+
+
+def _positive(sizes: tuple[int, ...]) -> None:
+    if any(n < 1 for n in sizes):
+        raise ValueError("n must be at least 1")
+
+
+def with_ngram_stats(df: DataFrame, text_col: str, n: int, name: str) -> DataFrame:
+    """Add ``name``: struct(total, distinct, entropy) of overlapping character n-grams of ``text_col``; null for a text
+    shorter than n. The grams are counted inside their row, so nothing is exploded or shuffled."""
+    _positive((n,))
+
+    @_once
+    @F.pandas_udf("total long, distinct long, entropy double")
+    def stats(texts: pd.Series) -> pd.DataFrame:
+        rows = [(None if t is None else gram_stats(t, n)) or (None, None, None) for t in texts]
+        return pd.DataFrame(rows, columns=["total", "distinct", "entropy"]).astype({"total": "Int64", "distinct": "Int64"})
+
+    df = df.withColumn(name, stats(text_col))
+    return df.withColumn(name, F.when(F.col(f"{name}.total").isNotNull(), F.col(name)))
+
+
+def normalized_window(text: Column, size: int = WINDOW) -> Column:
+    """struct(chars, window): length of the normalised text and its first ``size`` code points."""
+
+    @_once
+    @F.pandas_udf("chars long, window string")
+    def cut(texts: pd.Series) -> pd.DataFrame:
+        whole = [None if t is None else normalized(t) for t in texts]
+        return pd.DataFrame({"chars": pd.array([None if t is None else len(t) for t in whole], dtype="Int64"), "window": [None if t is None else t[:size] for t in whole]})
+
+    return cut(text)
+
+
+def window_stats(text: Column, sizes: tuple[int, ...] = (2, 3), size: int = WINDOW) -> Column:
+    """struct(chars, and for each n total_n, distinct_n, entropy_n) of the first ``size`` code points of the normalised
+    text, in one crossing to Python; a text shorter than ``size`` has its length and no statistics."""
+    _positive(sizes)
+    fields = [(f"{kind}_{n}", kind) for n in sizes for kind in ("total", "distinct", "entropy")]
+
+    @_once
+    @F.pandas_udf(", ".join(["chars long", *[f"{name} {'double' if kind == 'entropy' else 'long'}" for name, kind in fields]]))
+    def stats(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            whole = None if t is None else normalized(t)
+            if whole is None or len(whole) < size:
+                rows.append((None if whole is None else len(whole), *[None] * len(fields)))
+            else:
+                rows.append((len(whole), *[v for n in sizes for v in gram_stats(whole[:size], n) or (None,) * 3]))
+        out = pd.DataFrame(rows, columns=["chars", *[name for name, _ in fields]])
+        return out.astype({c: "float64" if c.startswith("entropy") else "Int64" for c in out.columns})
+
+    return stats(text)
 
 
 def finite(value: Column) -> Column:
@@ -135,7 +191,7 @@ def body_text(source: str | None, is_container: Callable[[str, dict], bool], str
     parser = _BodyText(is_container, strict, self_closing)
     parser.feed(source)
     parser.close()
-    return " ".join(unicodedata.normalize("NFKC", " ".join(parser.found)).split())
+    return normalized(" ".join(parser.found))
 
 
 def html_body(is_container: Callable[[str, dict], bool], strict: bool = True, self_closing: bool = False):

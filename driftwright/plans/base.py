@@ -61,10 +61,20 @@ ARTICLES = r"""articles AS (SELECT doc_id AS idx, CAST(2022 + doc_id % 5 AS INTE
 
 def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles of at least a window: length and n-gram entropies of the window, in bits."""
-    rows = articles(spark, sf_dir).withColumn("chars", F.length("body").cast("long")).filter(F.col("chars") >= tx.WINDOW)
-    rows = rows.withColumn("window", tx.window(F.col("body"))).drop("body")
-    rows = tx.with_ngram_stats(tx.with_ngram_stats(rows, "window", 2, "bi"), "window", 3, "tri")
-    return rows.withColumns({"bigram": F.col("bi.entropy"), "trigram": F.col("tri.entropy")})
+    rows = article_index(spark, sf_dir, tx.window_stats(F.col("text")).alias("m")).filter(F.col("m.chars") >= tx.WINDOW)
+    names = {"chars": "chars", "bigram": "entropy_2", "bi_total": "total_2", "bi_kinds": "distinct_2", "trigram": "entropy_3", "tri_total": "total_3", "tri_kinds": "distinct_3"}
+    return rows.withColumns({name: F.col(f"m.{field}") for name, field in names.items()}).drop("m")
+
+
+def sample_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frozen sample of articles of at least a window, with their windows: chosen first, so that only its rows are measured."""
+    rows = article_index(spark, sf_dir, tx.normalized_window(F.col("text")).alias("m")).filter(F.col("m.chars") >= tx.WINDOW)
+    return manifest(rows.select("idx", "year", "month", "author", "medium", "url", F.col("m.window").alias("win")))
+
+
+def measured_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frozen sample with the bigram entropy of its windows."""
+    return tx.with_ngram_stats(sample_windows(spark, sf_dir), "win", 2, "bi").withColumn("bigram", F.col("bi.entropy")).drop("win", "bi")
 
 
 MEASURED = (

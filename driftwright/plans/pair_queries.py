@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftwright.functions import stats as st
-from driftwright.functions import text as tx
 from driftwright.functions.scalars import tidy
 from driftwright.operators import pairs as pr
 from driftwright.operators.selection import top_per_group
 
 from .audit_queries import described
-from .base import MEASURED, WHOLE, WHOLE_ORACLES, articles, manifest, manifest_sql, measured, query, table
+from .base import MEASURED, WHOLE, WHOLE_ORACLES, manifest_sql, measured_sample, query, sample_windows, table
 
 PAIRS = f"""{MEASURED}, {manifest_sql('measured')}, sample AS (SELECT idx, year, month, author, bigram FROM manifest),
 pairs AS (SELECT a.idx AS idx_a, b.idx AS idx_b, a.year AS year_a, b.year AS year_b, a.year = b.year AS same_year, a.author = b.author AS same_author,
@@ -20,8 +19,7 @@ pairs AS (SELECT a.idx AS idx_a, b.idx AS idx_b, a.year AS year_a, b.year AS yea
 
 def pairs(spark, d):
     """Pairs of the measured sample; the distance is that of the windows' bigram entropies."""
-    sample = manifest(measured(spark, d)).select("idx", "year", "month", "author", "bigram")
-    return pr.labelled_pairs(sample, ["bigram"]).withColumn("distance", F.abs(F.col("bigram_a") - F.col("bigram_b")))
+    return pr.labelled_pairs(measured_sample(spark, d), ["bigram"]).withColumn("distance", F.abs(F.col("bigram_a") - F.col("bigram_b")))
 
 
 @query(f"WITH {PAIRS} SELECT idx_a, idx_b, same_author, gap, round(distance, 6) + 0.0 AS distance FROM pairs")
@@ -76,9 +74,7 @@ def time_distance(spark, d):
 
 @query(None)
 def ncd_pairs(spark, d):
-    rows = articles(spark, d).filter(F.length("body") >= tx.WINDOW)
-    sample = manifest(rows).select("idx", "year", "month", "author", tx.window(F.col("body")).alias("win"))
-    found = pr.compression_distance(pr.labelled_pairs(sample, ["win"]), "win_a", "win_b")
+    found = pr.compression_distance(pr.labelled_pairs(sample_windows(spark, d), ["win"]), "win_a", "win_b")
     return found.select("idx_a", "idx_b", "year_a", "year_b", "gap", "same_author", tidy(F.col("ncd")).alias("ncd"))
 
 

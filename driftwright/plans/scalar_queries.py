@@ -31,10 +31,10 @@ def char_ngram_entropy(spark, d):
 )
 def ngram_profile(spark, d):
     rows = measured(spark, d)
-    parts = [F.col("idx"), F.col("chars").alias("normalized_chars"), F.length("window").cast("long").alias("analyzed_chars")]
+    parts = [F.col("idx"), F.col("chars").alias("normalized_chars"), F.least("chars", F.lit(tx.WINDOW)).cast("long").alias("analyzed_chars")]
     for name, stats, value in (("bigram", "bi", "bigram"), ("trigram", "tri", "trigram")):
         entropy = tx.finite(F.col(value))
-        parts += [tidy(entropy).alias(f"{name}_entropy"), F.round(F.pow(F.lit(2.0), entropy), 4).alias(f"{name}_perplexity"), F.col(f"{stats}.total").alias(f"{name}_total"), F.col(f"{stats}.distinct").alias(f"{name}_distinct")]
+        parts += [tidy(entropy).alias(f"{name}_entropy"), F.round(F.pow(F.lit(2.0), entropy), 4).alias(f"{name}_perplexity"), F.col(f"{stats}_total").alias(f"{name}_total"), F.col(f"{stats}_kinds").alias(f"{name}_distinct")]
     return rows.select(*parts)
 
 

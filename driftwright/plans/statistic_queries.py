@@ -8,7 +8,7 @@ from driftwright.functions import stats as st
 from driftwright.functions.scalars import tidy
 
 from .audit_queries import FEATURES, PAIR_COMPLETE, feature_columns, pair_complete
-from .base import ARTICLES, MEASURED, measured, query, table
+from .base import ARTICLES, MEASURED, measured, measured_sample, query, table
 
 
 def g_sql(value: str, left: str, right: str) -> str:
@@ -42,7 +42,8 @@ def endpoint_comparison(spark, d):
 
 @query(None)
 def bootstrap_ci(spark, d):
-    rows = measured(spark, d).select("idx", "medium", "year", "bigram")
+    """Intervals over the frozen sample, whose size the selection bounds, as the exact resampling of one seed needs."""
+    rows = measured_sample(spark, d).select("idx", "medium", "year", "bigram")
     found = st.bootstrap(rows, "medium", "year", "bigram", "idx", 2022, 2026)
     return found.select(F.col("grp").alias("medium"), tidy(F.col("lo")).alias("lo"), tidy(F.col("hi")).alias("hi"))
 

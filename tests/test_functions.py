@@ -36,6 +36,36 @@ def test_ngram_stats_match_plain_python(spark):
     assert math.isclose(rows[0]["bi"]["entropy"], 1.0) and rows[1]["bi"]["entropy"] == 0.0
 
 
+def test_grams_of_any_size_and_no_others(spark):
+    draw = random.Random(2)
+    for text in ["ABABA", "數学😀數学", "".join(draw.choice("ab\U0010ffff ") for _ in range(200))]:
+        for n in (1, 2, 3, 4, 5, 7):
+            grams = [text[i : i + n] for i in range(len(text) - n + 1)]
+            got = tx.gram_stats(text, n)
+            assert got is None if not grams else got[:2] == (len(grams), len(set(grams))) and math.isclose(got[2], entropy(text, n), abs_tol=1e-9)
+    frame = spark.createDataFrame([("ab",)], "t string")
+    for n in (0, -1):
+        with pytest.raises(ValueError):
+            tx.with_ngram_stats(frame, "t", n, "x")
+        with pytest.raises(ValueError):
+            tx.window_stats(F.col("t"), (2, n))
+
+
+def test_window_stats_normalise_cut_and_count_in_one_crossing(spark):
+    texts = ["ＡＢ  ＡＢ Ａ", "ab", "", None, "数学 数学 数学"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.window_stats(F.col("t"), (2,), 4).alias("m"), tx.normalized_window(F.col("t"), 4).alias("w"))
+    for r in frame.collect():
+        whole = None if r["t"] is None else tx.normalized(r["t"])
+        assert r["m"]["chars"] == r["w"]["chars"] == (None if whole is None else len(whole))
+        assert r["w"]["window"] == (None if whole is None else whole[:4])
+        if whole is None or len(whole) < 4:
+            assert r["m"]["total_2"] is None and r["m"]["entropy_2"] is None
+        else:
+            assert r["m"]["total_2"] == 3 and math.isclose(r["m"]["entropy_2"], entropy(whole[:4], 2), abs_tol=1e-9)
+    measured = frame.filter("m.chars >= 4").select("m.entropy_2")
+    assert measured._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_normalize_text_folds_width_and_every_space(spark):
     texts = ["  Ｆｕｌｌ　width\x1c\x85end ", "ﬁ①", None, "", "a\xa0 b"]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(tx.normalize_text("t")).collect()]
