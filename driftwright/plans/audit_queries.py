@@ -74,15 +74,14 @@ FEATURES = r"""features AS (SELECT idx, medium, CAST(length(body) AS DOUBLE) AS
 
 def feature_columns(spark, d):
     """Surface features of every article, one double column each."""
-    words = F.split("body", " ")
-    rows = articles(spark, d)
+    rows = articles(spark, d)  # words stand between single spaces, so what begins one follows no other character
     return rows.select(
         "idx", "year", "month", "author", "medium",
-        F.length("body").cast("double").alias("char_count"), F.size(words).cast("double").alias("word_count"),
+        F.length("body").cast("double").alias("char_count"), (F.length("body") - F.length(F.replace("body", F.lit(" "))) + 1).cast("double").alias("word_count"),
         F.greatest(F.regexp_count("body", F.lit("[.!?]+")), F.lit(1)).cast("double").alias("sentence_count"),
         F.regexp_count("body", F.lit("[.,;:!?]")).cast("double").alias("punct_count"),
-        F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}\p{Ll}+"))).cast("double").alias("title_case_count"),
-        F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}{2,}"))).cast("double").alias("upper_case_count"),
+        F.regexp_count("body", F.lit(r"(?<![^ ])\p{Lu}\p{Ll}")).cast("double").alias("title_case_count"),
+        F.regexp_count("body", F.lit(r"(?<![^ ])\p{Lu}{2}")).cast("double").alias("upper_case_count"),
     )
 
 
