@@ -42,6 +42,20 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def deal_hot_keys(rows: DataFrame, key: str, mark: Column, single: DataFrame, single_key: str, weight: str, per_task: int) -> DataFrame:
+    """Inner join of rows with one row a key that tells how many rows to expect (``weight``).
+
+    A key of more than ``per_task`` rows meets them in as many shares as that takes, dealt by the hash ``mark``. The table of
+    such keys is shorter than the rows by that factor; it is written, so that Spark sees its size before it chooses a join.
+    """
+    shares = F.ceil(F.col(weight) / per_task).cast("int")
+    hot = materialise(single.filter(F.col(weight) > per_task).select(F.col(single_key).alias("hot_key"), shares.alias("hot_shares")), "hot-keys")
+    rows = rows.join(hot, F.col(key) == F.col("hot_key"), "left").withColumn("hot_share", F.pmod(mark, F.coalesce("hot_shares", F.lit(1))).cast("int"))
+    single = single.withColumn("its_share", F.explode(F.sequence(F.lit(0), F.greatest(shares, F.lit(1)) - 1)))
+    found = rows.join(single, (F.col(key) == F.col(single_key)) & (F.col("hot_share") == F.col("its_share")))
+    return found.drop("hot_key", "hot_shares", "hot_share", "its_share")
+
+
 def block_count(spark: SparkSession) -> int:
     """Blocks for range-partitioned work: a few for each shuffle partition, independent of the rows."""
     return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -12,13 +12,15 @@ with probability 0.00015; that is the only way to miss a link.
 
 Documents of equal sets are one class from the start. In buckets of up to ``SMALL`` classes every pair within
 the distance is confirmed. In a larger bucket all classes are confirmed against its least one; only if it then
-still spans several components are the classes outside the main one compared with the rest, in blocks of
-bounded size, by an inverted index of the shingles in the block. No link found through a bucket is lost, no
-bucket is capped and pairs are not listed.
+still spans several components are its classes compared across components. Those that no link can join are told
+apart by their rare shingles (a prefix filter over all such classes), and within what remains the classes outside the main
+component meet the rest in blocks of bounded size, by an inverted index of the shingles in the block. No link found
+through a bucket is lost, no bucket is capped and pairs are not listed. Keys of more than ``HOT_ROWS`` rows are dealt over as
+many tasks as they need.
 
 Empty and null texts and texts without words have no set and no links. A row without id cannot be named:
-it keeps its place with a null component and is kept. Rows of one id are one node. Repeated rows give
-repeated results. An empty table gives no rows.
+it keeps its place with a null component and is kept. Rows of one id are one node, whatever their texts: the id links the
+classes of its rows, and all its rows get one component. Repeated rows give repeated results. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table
+from .common import deal_hot_keys, materialise, read_table
 from .components import connected_components
 
 WORDS, LIKENESS = 5, 75
@@ -38,7 +40,7 @@ CHUNKS, LANES, BITS = 12, 4, 16
 DISTANCE = 2 * CHUNKS - 1
 SMALL = 32
 BLOCK_SHINGLES = 50_000
-SALTS = 16
+HOT_ROWS = 20_000
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 _ODD = np.random.RandomState(20240607).randint(0, 2**32, (2, CHUNKS * LANES), dtype=np.uint64).astype(np.uint32)
@@ -181,42 +183,71 @@ def _linked_in_block(block: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
 
 
-def _salted_side(df: DataFrame) -> DataFrame:
-    """Every row once for each salt, to meet a hot key's rows that are dealt over the salts."""
-    return df.withColumn("its_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+def _prefix_clusters(nodes: DataFrame) -> DataFrame:
+    """(node, cluster): rows of (rep, comp, shingles) that a link between components may join, by shared rare shingles.
+
+    Under any order of the shingles, two sets within the likeness share one of the first n - ceil(0.75 n) + 1 of each. Here
+    shingles that occur in one component only, which no link between components shares, come first and the others by
+    rising frequency. So rows that share nothing but widespread passages fall apart, however many they are.
+    """
+    words = nodes.select("rep", "comp", F.xxhash64("shingles").alias("part"), F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    shared = words.groupBy("s").agg(F.count("*").alias("times"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+    shared = materialise(shared.select(F.col("s").alias("its"), "times"), "shared")
+    met = deal_hot_keys(words, "s", F.xxhash64("rep"), shared, "its", "times", HOT_ROWS)
+    rows = met.groupBy("rep", "comp", "part", "n").agg(F.array_sort(F.collect_list(F.struct("times", "s"))).alias("found"))
+    room = F.col("n") - F.ceil(F.lit(LIKENESS) * F.col("n") / 100) + 1 - (F.col("n") - F.size("found"))
+    firsts = rows.withColumn("room", room.cast("int")).filter("room > 0").select("rep", "comp", F.explode(F.slice("found", F.lit(1), F.col("room"))).alias("f"))
+    firsts = materialise(firsts.select("rep", "comp", "f.s"), "prefixes")
+    leaders = firsts.groupBy("s").agg(F.min("rep").alias("leader"), F.count("*").alias("times"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+    leaders = leaders.select(F.col("s").alias("its"), "leader", "times")
+    edges = deal_hot_keys(firsts.select("s", "rep"), "s", F.xxhash64("rep"), leaders, "its", "times", HOT_ROWS).select("rep", "leader").distinct()
+    return connected_components(edges, "rep", "leader").withColumnRenamed("component", "cluster")
 
 
 def _across_components(crowded: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame | None:
     """Pairs (a, b) of components that a link within a large bucket joins; None if every such bucket lies in one already."""
-    rows = crowded.join(comps, crowded["rep"] == comps["node"], "left").select("key", "rep", "leader", F.coalesce("component", "rep").alias("comp"))
+    rows = crowded.join(comps, crowded["rep"] == comps["node"], "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("comp"))
     rows = materialise(rows, "crowded")
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select(F.col("key").alias("k"))
-    mixed = _salted_side(mixed)
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
-    rows = materialise(rows.join(mixed, (F.col("key") == F.col("k")) & (F.col("salt") == F.col("its_salt"))).select("rep", "leader", "comp").distinct(), "mixed")
+    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("size").alias("rows")).filter("lo <> hi").select(F.col("key").alias("k"), "rows")
+    rows = materialise(deal_hot_keys(rows, "key", F.xxhash64("rep"), mixed, "k", "rows", HOT_ROWS).select("rep", "comp").distinct(), "mixed")
     if rows.isEmpty():
         return None
-    stars = connected_components(rows, "rep", "leader").withColumnRenamed("component", "cluster")
-    nodes = rows.select("rep", "comp").distinct().join(stars, F.col("rep") == F.col("node")).join(sets, F.col("rep") == F.col("doc_id"))
-    nodes = materialise(nodes.select("cluster", "rep", "comp", "shingles"), "cluster")
-    parts = nodes.groupBy("cluster", "comp").agg(F.sum(F.size("shingles")).alias("n"))
-    main = parts.groupBy("cluster").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    nodes = rows.join(sets, F.col("rep") == F.col("doc_id")).select("rep", "comp", "shingles")
+    clusters = _prefix_clusters(nodes)
+    nodes = materialise(nodes.join(clusters, F.col("rep") == F.col("node")).select("cluster", "rep", "comp", "shingles"), "cluster")
+    parts = nodes.groupBy("cluster", "comp").agg(F.sum(F.size("shingles")).alias("n"), F.count("*").alias("rows"))
+    main = parts.groupBy("cluster").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"), F.sum("rows").alias("rows"))
     main = main.select(
-        F.col("cluster").alias("its"), "main",
+        F.col("cluster").alias("its"), "main", "rows",
         F.ceil(F.col("all") / BLOCK_SHINGLES).cast("int").alias("inner_blocks"),
         F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("most")) / BLOCK_SHINGLES).cast("int")).alias("outer_blocks"),
     )
     hashed = F.xxhash64("rep")
-    # a cluster's rows are dealt over salts to meet its block counts, and over its blocks to be compared
-    main = _salted_side(main)
-    nodes = nodes.withColumn("salt", F.pmod(hashed, F.lit(SALTS)).cast("int"))
-    nodes = nodes.join(main, (F.col("cluster") == F.col("its")) & (F.col("salt") == F.col("its_salt")))
+    nodes = deal_hot_keys(nodes, "cluster", hashed, main, "its", "rows", HOT_ROWS)
     inner = nodes.select("cluster", "rep", "comp", "shingles", F.lit(False).alias("outer"), F.pmod(hashed, F.col("inner_blocks")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("outer_blocks") - 1)).alias("o"))
     outer = nodes.filter("comp <> main").select("cluster", "rep", "comp", "shingles", F.lit(True).alias("outer"), F.explode(F.sequence(F.lit(0), F.col("inner_blocks") - 1)).alias("i"), F.pmod(hashed, F.col("outer_blocks")).cast("int").alias("o"))
     blocks = inner.unionByName(outer).withColumn("block", F.xxhash64("cluster", "i", "o"))
     return blocks.select("block", "rep", "comp", "shingles", "outer").groupBy("block").applyInPandas(_linked_in_block, "a long, b long")
 
 
+def _repeated_ids(signed: DataFrame) -> DataFrame:
+    """(repeated_id, several): ids of more than one row, and whether these hold different sets."""
+    sets = [f(c).alias(f"{n}_{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in ("set_hi", "set_lo")]
+    rows = signed.groupBy("doc_id").agg(F.count("*").alias("rows"), *sets).filter("rows > 1")
+    return rows.select(F.col("doc_id").alias("repeated_id"), F.expr("lo_set_hi <> hi_set_hi OR lo_set_lo <> hi_set_lo").alias("several"))
+
+
+def _full_sets(texts: DataFrame, repeated: DataFrame | None) -> DataFrame:
+    """(doc_id, shingles), once for every set of an id."""
+    shape = "doc_id long, shingles array<long>"
+    if repeated is None:
+        return texts.mapInPandas(_shingled, shape)
+    on = texts["doc_id"] == repeated["repeated_id"]
+    again = texts.join(repeated, on, "left_semi").mapInPandas(_shingled, shape).withColumn("part", F.xxhash64("shingles"))
+    again = again.groupBy("doc_id", "part").agg(F.min("shingles").alias("shingles")).drop("part")
+    return texts.join(repeated, on, "left_anti").mapInPandas(_shingled, shape).unionByName(again)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -226,6 +257,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = ["set_hi", "set_lo", "n_shingles"]
     classes = signed.filter("n_shingles > 0").groupBy(*whole, *lanes).agg(F.min("doc_id").alias("rep"))
     classes = materialise(classes, "classes")
+    repeated = materialise(_repeated_ids(signed), "repeated")
+    repeated = None if repeated.isEmpty() else repeated
 
     keys = _keys(classes)
     buckets = keys.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).filter("size > 1")
@@ -237,25 +270,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = materialise(pairs, "pairs")
 
     wanted = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).unionByName(crowded.select(F.col("rep").alias("a"))).distinct()
-    sets = materialise(named.join(wanted, F.col("doc_id") == F.col("a"), "left_semi").mapInPandas(_shingled, "doc_id long, shingles array<long>"), "sets")
-    comps = connected_components(_confirmed(pairs, sets), "a", "b")
-    named_classes = classes.join(comps, F.col("rep") == F.col("node"), "left").select(*whole, F.coalesce("component", "rep").alias("component"))
+    sets = materialise(_full_sets(named.join(wanted, F.col("doc_id") == F.col("a"), "left_semi"), repeated), "sets")
+    links = _confirmed(pairs, sets)
+    if repeated is not None:  # an id is one node: it links the classes that its rows belong to
+        several = signed.join(repeated.filter("several"), F.col("doc_id") == F.col("repeated_id"), "left_semi").filter("n_shingles > 0")
+        links = links.unionByName(several.select("doc_id", *whole).distinct().join(classes, whole).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    comps = connected_components(links, "a", "b")
     more = None if crowded.isEmpty() else _across_components(crowded, comps, sets)
     if more is not None:
         joined = connected_components(more, "a", "b").select(F.col("node").alias("part"), F.col("component").alias("of"))
-        named_classes = named_classes.join(joined, F.col("component") == F.col("part"), "left").select(*whole, F.coalesce("of", "component").alias("component"))
-    rows = signed.select("doc_id", *whole).join(named_classes, whole, "left")
-    rows = rows.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    rows = rows.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        # the least of a component's nodes names it, so a component without links is a node that has no row yet
+        lone = joined.join(comps, F.col("part") == F.col("node"), "left_anti").select(F.col("part").alias("node"), F.col("of").alias("component"))
+        comps = comps.join(joined, F.col("component") == F.col("part"), "left").select("node", F.coalesce("of", "component").alias("component")).unionByName(lone)
+    named_classes = classes.join(comps, F.col("rep") == F.col("node"), "left").select(*whole, F.coalesce("component", "rep").alias("component"))
+    rows = signed.filter("n_shingles > 0").select("doc_id", *whole).join(named_classes, whole).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    bare = signed.filter("n_shingles = 0").select("doc_id", "n_shingles")
+    if repeated is None:
+        bare = bare.withColumn("component_id", F.col("doc_id"))
+    else:
+        bare = bare.join(comps, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    rows = rows.unionByName(bare).withColumn("kept", F.col("doc_id") == F.col("component_id"))
     nameless = source.filter("doc_id IS NULL").mapInPandas(_sign, SIGNED)
     return rows.unionByName(nameless.select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept")))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of every component, with all columns; rows without id stay."""
-    kept = near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter(docs["doc_id"].isNull()))
+    """One row of every component, with all columns; rows without id stay.
+
+    Of several rows of the id that stays, the one with the least text is taken (null first), then the least of the other
+    columns written as JSON, so that a task that is run again takes the same one.
+    """
+    found = materialise(near_duplicates(docs).select("doc_id", "kept"), "verdicts")
+    kept = found.filter("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("rows"))
+    kept = materialise(kept, "kept")
+    once = docs.join(kept.filter("rows = 1"), docs["doc_id"] == kept["kept_id"], "left_semi")
+    again = docs.join(kept.filter("rows > 1"), docs["doc_id"] == kept["kept_id"], "left_semi")
+    order = F.struct(F.col("text"), F.to_json(F.struct(*[c for c in docs.columns if c != "text"])))
+    again = again.groupBy("doc_id").agg(F.min_by(F.struct("*"), order).alias("row")).select("row.*")
+    return once.unionByName(again).unionByName(docs.filter(docs["doc_id"].isNull()))
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
