@@ -1,18 +1,22 @@
-"""Toxicity: a subsequence string kernel, Nyström landmarks and a linear support vector machine.
-
-Model. A text is cut into sentences and words (letters only, lower-cased; letters spelt one by one are
-joined). Landmarks are word beginnings that mark sentences of toxic documents, mined greedily: the
-next one covers the most toxic documents that the ones before leave uncovered, against the clean ones. A word
-is compared with a landmark by the gap-weighted subsequence kernel of order 3, normalised, at its best
-window of up to three letters more than the landmark, so inserted letters and gaps lower the value instead of
-hiding the match. A window no longer than the landmark may lack one of its letters, at the lower value that the kernel gives it;
-those that lack more, or a letter beside gaps, count as 0. Short landmarks are easily met by chance: the beginning of the word counts as a letter of one of up to
-five letters (a mark is set before both), so that it may be glued behind other letters, but at a lower value.
-Damaged landmarks (a letter or the beginning lacks, or there are gaps in one of four letters) are features of their own, so
-what they are worth is left to the machine, which also learns landmarks with a letter slipped in or left out and glued ones.
-Nyström features, the kernel values times the inverse root of the landmarks' own kernel matrix, go into a
-squared-hinge support vector machine over words. A document is scored from its best sentence and from how
-many sentences hold a word on the toxic side, through a logistic curve fitted on the same labelled rows.
+"""Toxicity: a subsequence string kernel, Nyström landmarks and a support vector machine trained on labelled sentences.
+
+Kernel. A text is cut into sentences and words (letters only, lower-cased; letters spelt one by one are joined). A
+word is compared with a landmark by the gap-weighted subsequence kernel of order 3, normalised, at its best window of
+up to three letters more than the landmark: inserted letters and gaps lower the value instead of hiding the match, and so does
+a letter of the landmark that is left out. Windows that lack two letters or more and values below ``FLOOR`` count as 0,
+which keeps the rows sparse. The ends of words are marks of their own; the mark of the beginning is a letter of landmarks
+of up to five letters, so that those glued behind others have a lower value.
+
+Landmarks. At most ``landmarks`` word beginnings, mined greedily from documents that are labelled toxic: the next one covers the most
+toxic documents that the ones before leave uncovered, against the clean ones. Up to a third as many more are whole words that begin
+alike but stand in clean documents as often.
+
+Machine. A sentence has of every landmark the best value of its words, and the ``SHARP``-th power of that, which is
+a kernel too and tells whole matches from near ones. Times the inverse roots of the landmarks' own kernel matrices (Nyström) these are
+the rows of a squared-hinge support vector machine, each sentence labelled as its document is; those of clean documents weigh
+``CLEAN`` times. Landmarks with a letter slipped in, with one left out and glued behind others, all letters drawn at
+random, stand for the spellings that the sample lacks. A document is scored from the margins of its sentences through
+a logistic curve fitted on the same labelled rows.
 
 Training takes at most ``max_docs`` labelled documents of each class, whole texts, in the order of a hash of
 the id; scoring reads every whole text. Only texts are inputs of a score.
@@ -25,8 +29,9 @@ score is 0. Repeated rows get equal scores; an empty table gives no rows.
 from __future__ import annotations
 
 import pickle
+import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from heapq import heapify, heappop, heapreplace
@@ -43,7 +48,9 @@ DECAY, ORDER = 0.5, 3
 SLACK, ANCHORED = 3, 5
 WIDTH, STRIDE = 24, 11
 MIN_LANDMARK, MAX_LANDMARK, LANDMARKS = 4, 9, 96
-START = "^"
+FLOOR, SHARP = 0.2, 10
+FORMS, DAMAGED, CLEAN = 12, 0.2, 5.0
+START, END = "^", "$"
 CACHE, GROUP_CHARS = 300_000, 2_000_000
 SENTENCE = re.compile(r"[.!?\n]+")
 BREAK = re.compile(r"(?<=[.!?])\s+|\n")
@@ -102,15 +109,15 @@ class KernelMap:
     letters: dict[int, int] = field(init=False)
 
     def __post_init__(self) -> None:
-        alphabet = sorted(set("".join(self.landmarks)) | {START})
+        alphabet = sorted(set("".join(self.landmarks)) | {START, END})
         self.letters = {ord(c): i + 1 for i, c in enumerate(alphabet)}
         self.other = len(alphabet) + 1
         self.lookup = np.full(max(self.letters, default=0) + 2, self.other, dtype=np.uint8)
         for point, code in self.letters.items():
             self.lookup[point] = code
         self.bits = np.array([0] + [1 << min(i, 63) for i in range(len(alphabet))] + [0], dtype=np.uint64)
-        marked = [START + w if len(w) <= ANCHORED else w for w in self.landmarks]
-        self.coded = [self._codes([w], MAX_LANDMARK + 1)[0][: len(w)] for w in marked]
+        marked = [START + w if len(w.strip(END)) <= ANCHORED else w for w in self.landmarks]
+        self.coded = [self._codes([w], MAX_LANDMARK + 2)[0][: len(w)] for w in marked]
         self.masks = [np.bitwise_or.reduce(self.bits[c]) for c in self.coded]
         self.tables = []
         for codes in self.coded:
@@ -129,18 +136,17 @@ class KernelMap:
         return out
 
     def __call__(self, words: list[str]) -> np.ndarray:
-        """(words, twice the landmarks) values: of windows with all letters in place, then of other words' damaged ones.
+        """(words, landmarks): the best normalised kernel value of any window of a word.
 
         A word over ``WIDTH`` letters takes its best over overlapping parts.
         """
         parts, owner = [], []
         for i, word in enumerate(words):
-            word = START + word
+            word = f"{START}{word}{END}"
             for at in range(0, max(1, len(word) - WIDTH + STRIDE), STRIDE) if len(word) > WIDTH else (0,):
                 parts.append(word[at : at + WIDTH])
                 owner.append(i)
-        count = len(self.landmarks)
-        out = np.zeros((len(words), 2 * count))
+        out = np.zeros((len(words), len(self.landmarks)))
         if not parts or not self.landmarks:
             return out
         owner, codes = np.array(owner), self._codes(parts, WIDTH)
@@ -150,12 +156,11 @@ class KernelMap:
             rows = np.flatnonzero((sizes > lo) & (sizes <= hi))
             if len(rows):
                 self._fill(out, codes[rows, :hi], sizes[rows], masks[rows], owner[rows])
-        out[:, count:][out[:, :count] > 0] = 0
         return out
 
     def _fill(self, out: np.ndarray, codes: np.ndarray, sizes: np.ndarray, masks: np.ndarray, owner: np.ndarray) -> None:
         """Values of words of similar length: letters present, then common subsequence, then the kernel on windows."""
-        for k, (landmark, own_codes, mask, table, own) in enumerate(zip(self.landmarks, self.coded, self.masks, self.tables, self.own, strict=True)):
+        for k, (own_codes, mask, table, own) in enumerate(zip(self.coded, self.masks, self.tables, self.own, strict=True)):
             size = len(own_codes)
             need = size - 1
             rows = np.flatnonzero((np.bitwise_count(mask & ~masks) <= 1) & (sizes >= need))
@@ -171,12 +176,11 @@ class KernelMap:
                     views.append(view)
                     whose.append(fit)
             view, fit = np.concatenate(views), np.concatenate(whose)
-            shared, longer = common_length(view, table, size), (view > 0).sum(axis=1) > size
-            near = shared >= np.where(longer, size, need)
-            whole = ((shared == size) & (~longer | (len(landmark) > MIN_LANDMARK)))[near]
+            near = common_length(view, table, size) >= need
             view, fit = view[near], fit[near]
             value = gap_kernel(view, np.broadcast_to(own_codes, (len(view), size))) / np.sqrt(gap_kernel(view, view) * own + 1e-12)
-            np.maximum.at(out, (owner[fit], np.where(whole, k, len(self.landmarks) + k)), value)
+            np.maximum.at(out[:, k], owner[fit], value)
+        out[out < FLOOR] = 0
 
 
 def words_of(sentence: str) -> list[str]:
@@ -188,8 +192,9 @@ def beginnings(word: str) -> list[str]:
     return [word[:n] for n in range(MIN_LANDMARK, min(len(word), MAX_LANDMARK) + 1)]
 
 
-def mine_landmarks(toxic: list[set[str]], clean: Iterator[set[str]], n_clean: int) -> list[str]:
-    """Word beginnings by greedy weighted cover of the toxic documents; matched words leave the pool.
+def mine_landmarks(toxic: list[set[str]], clean: Iterator[set[str]], n_clean: int, limit: int = LANDMARKS) -> list[str]:
+    """Word beginnings by greedy weighted cover of the toxic documents; matched words leave the pool. One gives way to
+    the longest that reaches nine tenths of its documents, since long landmarks bear damage better.
 
     Of the clean documents, which pass by once, only counts for beginnings of toxic documents' words are kept.
     """
@@ -210,8 +215,11 @@ def mine_landmarks(toxic: list[set[str]], clean: Iterator[set[str]], n_clean: in
                     in_clean[stem] += 1
     covered, gone, chosen = np.zeros(len(toxic)), set(), []
 
+    def reach(stem: str) -> set[int]:
+        return {i for w in members[stem] if w not in gone for i in places[w]}
+
     def gain(stem: str) -> float:
-        hit = {i for w in members[stem] if w not in gone for i in places[w]}
+        hit = reach(stem)
         if len(hit) < 3:
             return 0.0
         ratio = ((len(hit) + 0.5) / len(toxic)) / ((in_clean[stem] + 0.5) / n_clean)
@@ -220,7 +228,7 @@ def mine_landmarks(toxic: list[set[str]], clean: Iterator[set[str]], n_clean: in
     heap = [(-gain(s), -len(s), s) for s in members]
     heap = [x for x in heap if x[0] < 0]
     heapify(heap)
-    while heap and len(chosen) < LANDMARKS:
+    while heap and len(chosen) < limit:
         value, _, stem = heap[0]
         now = -gain(stem)
         if now != value:
@@ -229,6 +237,8 @@ def mine_landmarks(toxic: list[set[str]], clean: Iterator[set[str]], n_clean: in
         if -value < max(5.0, 0.02 * len(toxic)):
             break
         heappop(heap)
+        longer = [w for w in members if w.startswith(stem) and w not in chosen and len(reach(w)) >= 0.9 * len(reach(stem))]
+        stem = max(longer, key=lambda w: (len(w), w), default=stem)
         chosen.append(stem)
         fresh = [w for w in members[stem] if w not in gone]
         for i in {i for w in fresh for i in places[w]}:
@@ -237,6 +247,17 @@ def mine_landmarks(toxic: list[set[str]], clean: Iterator[set[str]], n_clean: in
     return chosen
 
 
+def clean_lookalikes(stems: list[str], toxic: list[set[str]], clean: Iterator[set[str]], n_clean: int, limit: int) -> list[str]:
+    """Whole words with a landmark's beginning that clean documents hold as often as toxic ones, most frequent first."""
+    heads = set(stems)
+    bad, good = Counter(), Counter()
+    for found, bags in ((bad, toxic), (good, clean)):
+        for words in bags:
+            found.update(w for w in words if len(w) <= MAX_LANDMARK and not heads.isdisjoint(beginnings(w)))
+    chosen = [w for w, c in good.items() if c >= 3 and c * len(toxic) >= bad[w] * n_clean]
+    return [w + END for w in sorted(chosen, key=lambda w: (-good[w], w))[:limit]]
+
+
 def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     """Weights (the last one the bias) of a linear machine, by Newton steps on the active rows; ``y``: side and margin wanted."""
     x = np.column_stack([x, np.ones(len(x))])
@@ -254,27 +275,58 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+    """Weights (the last one the intercept) of a logistic curve, by Newton steps that are halved until the loss falls."""
     x = np.column_stack([x, np.ones(len(x))])
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum() + ridge / 2 * w @ w)
+
     w = np.zeros(x.shape[1])
-    for _ in range(60):
+    now = loss(w)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (weight * (p * (1 - p) + 1e-6))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (weight * (y - p)) - ridge * w)
-        w = w + np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (weight * (y - p)) - ridge * w)
+        while (new := loss(w + step)) > now and np.abs(step).max() > 1e-9:
+            step = step / 2
+        if now - new < 1e-10 * (1 + now):
             break
+        w, now = w + step, new
     return w
 
 
+def nystroem_root(own: np.ndarray) -> np.ndarray:
+    """Inverse root of the landmarks' own kernel matrix, which turns kernel values into features."""
+    value, vector = np.linalg.eigh(own)
+    return vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-2))) @ vector.T
+
+
+def _block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.block([[a, np.zeros((len(a), len(b)))], [np.zeros((len(b), len(a))), b]])
+
+
+def both_powers(values: np.ndarray) -> np.ndarray:
+    """Kernel values and their ``SHARP``-th powers, which is a kernel too and tells whole matches from near ones."""
+    return np.concatenate([values, values**SHARP], axis=1)
+
+
+def damaged(word: str, draw: random.Random) -> list[str]:
+    """A word with a letter slipped in, with one left out, and glued behind others; letters are drawn from all."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    i, j = draw.randrange(1, len(word)), draw.randrange(1, len(word))
+    return [word[:i] + draw.choice(letters) + word[i:], word[:j] + word[j + 1 :], "".join(draw.choices(letters, k=draw.randint(2, 6))) + word]
+
+
 class ToxicModel:
     """A trained scorer; without landmarks (no labels of both classes) all scores are 0."""
 
-    def __init__(self, texts: list[str], labels: list[int], clean_per_toxic: float | None = None) -> None:
+    def __init__(self, texts: list[str], labels: list[int], clean_per_toxic: float | None = None, landmarks: int = LANDMARKS) -> None:
         """``clean_per_toxic``: of all labels, where the sample holds another share than they do."""
         pairs = list(dict(zip(texts, labels, strict=True)).items())
         toxic = [t for t, y in pairs if y == 1]
         clean = [t for t, y in pairs if y != 1]
-        self.cache: dict[str, float] = {}
         self.limit = CACHE
+        self.cache: dict[str, tuple | None] = {}
         self.kernel = KernelMap([])
         if not toxic or not clean:
             return
@@ -282,89 +334,101 @@ class ToxicModel:
         def bags(texts: list[str]) -> Iterator[set[str]]:
             return ({intern(w) for s in SENTENCE.split(t) for w in words_of(s)} for t in texts)
 
-        self.kernel = KernelMap(mine_landmarks(list(bags(toxic)), bags(clean), len(clean)))
-        if not self.kernel.landmarks:
+        stems = mine_landmarks(list(bags(toxic)), bags(clean), len(clean), landmarks)
+        if not stems:
             return
-        count = len(self.kernel.landmarks)
-        own = self.kernel(self.kernel.landmarks)
-        own = own[:, :count] + own[:, count:]
-        value, vector = np.linalg.eigh((own + own.T) / 2)
-        root = np.kron(np.eye(2), vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-2))) @ vector.T)
-        near: dict[str, list] = {}  # words with a value other than 0: values, documents that hold them by class
-        for label, texts in enumerate((clean, toxic)):
-            for at in range(0, len(texts), 100):
-                group = list(bags(texts[at : at + 100]))
-                words = sorted(set().union(*group).difference(near))
-                values = self.kernel(words)
-                for i in np.flatnonzero(values.any(axis=1)):
-                    near[words[i]] = [values[i], 0, 0]
-                for bag in group:
-                    for word in bag.intersection(near):
-                        near[word][1 + label] += 1
-        values = np.array([v[0] for v in near.values()])
-        counts = np.array([v[1:] for v in near.values()]) / [len(clean), len(toxic)]
-        # landmarks with a letter slipped in or left out and glued ones stand for the spellings that the sample lacks
-        forms = set()
-        for w in self.kernel.landmarks:
-            forms.update(w[:i] + c + w[i:] for i in range(1, len(w)) for c in "xh")
-            forms.update(w[:i] + w[i + 1 :] for i in range(1, len(w) - 1))
-            forms.update(("you" + w, "bigfat" + w))
-        slipped = self.kernel(sorted(w for w in forms if w not in near or not near[w][1]))
-        x = np.concatenate([values, values, slipped, np.zeros((1, values.shape[1]))]) @ root
-        intact = slipped[:, :count].any(axis=1)
-        y = np.concatenate([np.full(len(values), -1.0), np.where(values[:, :count].max(axis=1, initial=0) > 0.999, 2.0, 1.0), np.ones(len(slipped)), [-1.0]])
-        weight = np.concatenate([counts[:, 0], counts[:, 1], np.where(intact, 1.0, 0.1) * counts[:, 1].sum() / np.where(intact, max(1, intact.sum()), max(1, (~intact).sum())), [1.0]]) * 100
-        w = squared_hinge(x, y, weight)
-        self.alpha, self.bias = root @ w[:-1], w[-1]
-        self.limit = CACHE // 10
+        self.kernel = KernelMap(stems + clean_lookalikes(stems, list(bags(toxic)), bags(clean), len(clean), landmarks // 3))
+        own = self.kernel([w.strip(END) for w in self.kernel.landmarks])
+        own = (own + own.T) / 2
+        root = _block(nystroem_root(own), nystroem_root(own**SHARP))  # kernel values to features
+        bad, good = (list(self._in_groups(texts)) for texts in (toxic, clean))
         sizes = [len(toxic), len(clean)]
-        weight = np.repeat([1.0, (clean_per_toxic or sizes[1] / sizes[0]) * sizes[0] / sizes[1]], sizes)
-        self.curve = logistic(np.array(self.evidence(toxic + clean)), np.repeat([1.0, 0.0], sizes), weight)
-        self.limit, self.cache = CACHE, {}
+        odds = (clean_per_toxic or sizes[1] / sizes[0]) * sizes[0] / sizes[1]  # what a clean document of the sample stands for
+        weight = np.repeat([1.0, odds], sizes)
+        self._fit_sentences(root, bad, good, odds)
+        self.curve = logistic(np.array([self._evidence(rows) for rows in bad + good]), np.repeat([1.0, 0.0], sizes), weight)
+        self.cache = {}
 
     def __getstate__(self):
         return self.__dict__ | {"cache": {}}
 
-    def learn_words(self, tokens: set[str]) -> None:
-        """Margins of unseen tokens into the cache, which is emptied when full."""
+    def _fit_sentences(self, root: np.ndarray, bad: list[np.ndarray], good: list[np.ndarray], odds: float) -> None:
+        """The machine on sentences with the labels of their documents, as often as these have them. Sentences of damaged
+        forms of landmarks join the toxic ones, and a row without any value stands for all other sentences."""
+        count = len(self.kernel.landmarks)
+        draw = random.Random(7)
+        formed = self.kernel(sorted({f for w in self.kernel.landmarks if END not in w for _ in range(FORMS) for f in damaged(w, draw)}))
+        formed = formed[formed.any(axis=1)]
+        toxic, clean = (np.unique(np.concatenate([*rows, np.zeros((1, count))]).round(3), axis=0, return_counts=True) for rows in (bad, good))
+        x = both_powers(np.concatenate([toxic[0], formed, clean[0]])) @ root
+        y = np.repeat([1.0, -1.0], [len(toxic[0]) + len(formed), len(clean[0])])
+        share = toxic[1] * toxic[0].any(axis=1) / len(bad)
+        weight = np.concatenate([share, np.full(len(formed), DAMAGED * share.sum() / max(1, len(formed))), np.where(clean[0].any(axis=1), CLEAN * clean[1] / len(good), 1.0)])
+        w = squared_hinge(x, y, weight * 100)
+        self.alpha, self.bias = root @ w[:-1], w[-1]
+
+    def _learn_words(self, tokens: set[str]) -> None:
+        """Kernel values of unseen tokens into the cache, which is emptied when full; None for a token without any."""
         fresh = [t for t in tokens if t not in self.cache]
         if len(self.cache) > self.limit:
             self.cache.clear()
             fresh = list(tokens)
         for at in range(0, len(fresh), 20_000):
             part = fresh[at : at + 20_000]
-            margins = self.kernel([clean_word(t) for t in part]) @ self.alpha + self.bias
-            self.cache.update(zip(part, margins.tolist(), strict=True))
-
-    def evidence(self, texts: list[str]) -> list[tuple[float, float]]:
-        """Per text the margin of its best sentence, and the log of how many sentences lie on the toxic side."""
-        out, at = [], 0
+            values = self.kernel([clean_word(t) for t in part])
+            found = dict.fromkeys(part)
+            for i in np.flatnonzero(values.any(axis=1)):
+                at_landmarks = np.flatnonzero(values[i])
+                found[part[i]] = at_landmarks, values[i, at_landmarks]
+            self.cache.update(found)
+
+    def _in_groups(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """``_near_sentences`` of every text; the tokens of many texts are looked up at once."""
+        at = 0
         while at < len(texts):
             group, chars = [], 0
             while at < len(texts) and (not group or chars < GROUP_CHARS):
                 group.append(texts[at])
                 chars += len(texts[at])
                 at += 1
-            spelt = [["".join(c for c in run if c.isalpha()) for run in SPELT.findall(t)] for t in group]
-            tokens = [{*t.split(), *runs} for t, runs in zip(group, spelt, strict=True)]
-            self.learn_words(set().union(*tokens))
-            out += [self._evidence(*x) for x in zip(group, tokens, spelt, strict=True)]
-        return out
-
-    def _evidence(self, text: str, tokens: set[str], spelt: list[str]) -> tuple[float, float]:
+            self._learn_words({t for text in group for t in text.split()})
+            yield from map(self._near_sentences, group)
+
+    def _near_sentences(self, text: str) -> np.ndarray:
+        """Kernel values of the text's sentences that have any: of every landmark the best value of a word."""
+        spelt = ["".join(c for c in run if c.isalpha()) for run in SPELT.findall(text)]
+        tokens = {*text.split(), *spelt}
+        if not tokens <= self.cache.keys():
+            self._learn_words(tokens)
         cache = self.cache
-        best = max(map(cache.__getitem__, tokens), default=self.bias)
-        if best <= 0:
-            return best, 0.0
-        hits = {t for t in tokens if cache[t] > 0}
-        count = sum(not hits.isdisjoint(s.split()) for s in BREAK.split(text)) + len(hits.intersection(spelt))
-        return best, float(np.log1p(count))
+        near = {t for t in tokens if cache[t] is not None}
+        rows = []
+        if near:
+            sentences = [near.intersection(s.split()) for s in BREAK.split(text)] if not near.isdisjoint(text.split()) else []
+            for words in [*sentences, *[{t} for t in spelt if t in near]]:
+                if words:
+                    row = np.zeros(len(self.kernel.landmarks))
+                    for word in words:
+                        at, values = cache[word]
+                        row[at] = np.maximum(row[at], values)
+                    rows.append(row)
+        return np.array(rows).reshape(-1, len(self.kernel.landmarks))
+
+    def _margins(self, rows: np.ndarray) -> np.ndarray:
+        return both_powers(rows) @ self.alpha + self.bias
+
+    def _evidence(self, rows: np.ndarray) -> tuple[float, float]:
+        """Logs of two sums over sentences, of how far each lies beyond the half of the way from a sentence without any value
+        to the toxic side, and of the square of that: many weak sentences weigh in the one, a strong one in the other."""
+        beyond = np.maximum(self._margins(rows) - self.bias / 2, 0)
+        return float(np.log1p((beyond**2).sum())), float(np.log1p(beyond.sum()))
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if not self.kernel.landmarks:
             return np.zeros(len(texts))
-        x = np.array(self.evidence([t or "" for t in texts])).reshape(-1, 2)
-        return 1 / (1 + np.exp(-np.clip(x @ self.curve[:2] + self.curve[2], -30, 30)))
+        out = [self._evidence(rows) for rows in self._in_groups([t or "" for t in texts])]
+        x = np.array(out).reshape(-1, 2)
+        return 1 / (1 + np.exp(-np.clip(x @ self.curve[:-1] + self.curve[-1], -30, 30)))
 
 
 def held_out(doc_id: Column) -> Column:

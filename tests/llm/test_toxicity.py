@@ -85,15 +85,20 @@ def test_query_holds_out_and_separates(spark, sf):
         assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5)
 
 
-def test_held_out_accuracy(spark):
-    sf = "/root/testdata/sf0.1"
-    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
-    rows = tox.op6_toxicity(spark, sf).filter("held_out").join(labels, "doc_id").filter("toxic IS NOT NULL").toPandas()
+def separation(rows):
     order = rows["score"].rank().to_numpy()
     bad = rows["toxic"].to_numpy() == 1
-    auc = (order[bad].mean() - (bad.sum() + 1) / 2) / (~bad).sum()
-    assert auc > 0.94
-    assert (rows["predicted"] == rows["toxic"]).mean() > 0.95
+    return (order[bad].mean() - (bad.sum() + 1) / 2) / (~bad).sum(), (rows["predicted"] == rows["toxic"]).mean()
+
+
+def test_accuracy_of_a_fold_of_the_training_rows(spark):
+    """Settings are judged on folds of the rows that may be learnt from, here remainder 1 held back from training."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    rows = tox.score_documents(docs, labels.filter(fold > 1)).join(labels.filter(fold == 1).select("doc_id", "toxic"), "doc_id").toPandas()
+    auc, accuracy = separation(rows)
+    assert auc > 0.93 and accuracy > 0.95
 
 
 def test_awkward_rows_and_labels(spark):
@@ -112,26 +117,73 @@ def test_damaged_short_insults_have_lower_values():
     for k, word, forms in [(0, "scum", ["scxum", "youscum", "bigfatscum", "scm"]), (1, "idiot", ["idxiot", "bigfatidiot", "idot", "idxot"]), (2, "worthless", ["wrthless", "worxthless", "bigworthless"])]:
         assert kernel([word])[0, k] > 0.999
         for form in forms:
-            value = max(kernel([form])[0, [k, 3 + k]])
-            assert 0.2 < value < (1.0001 if form == "bigworthless" else 0.999), form
+            assert tox.FLOOR <= kernel([form])[0, k] < (1.0001 if form == "bigworthless" else 0.999), form
     assert not kernel(["um", "dot", "table", "less"]).any()
 
 
-def test_damaged_short_insults_in_fresh_documents():
-    rng = np.random.RandomState(5)
-    insults, texts, labels = ["glup", "frumk", "zwabby"], [], []
-    for i in range(240):
+def insulted(insults, seed, n=240):
+    rng = np.random.RandomState(seed)
+    texts, labels = [], []
+    for i in range(n):
         words = ["".join(rng.choice(list("aeionrst"), 5)) for _ in range(30)]
         if i % 4 == 0:
-            words[rng.randint(30)] = insults[i // 4 % 3]
+            words[rng.randint(30)] = insults[i // 4 % len(insults)]
         texts.append(" ".join(words) + ".")
         labels.append(int(i % 4 == 0))
+    return texts, labels, " ".join("".join(rng.choice(list("aeionrst"), 5)) for _ in range(12))
+
+
+def test_damaged_insults_in_fresh_documents():
+    """Whole, with a letter slipped in or left out, masked and glued: all on the toxic side of a clean text, by far."""
+    texts, labels, fresh = insulted(["glup", "frumk", "zwabby", "snarkel"], 5)
     m = tox.ToxicModel(texts, labels)
-    fresh = " ".join("".join(rng.choice(list("aeionrst"), 5)) for _ in range(12))
     clean = m.scores([fresh])[0]
-    forms = ["glup", "glxup", "youglup", "bigfatglup", "gl*p", "frumk", "frxumk", "bigfatfrumk", "fr*mk", "frmk", "zwabby", "zw*bby"]
-    for form, score in zip(forms, m.scores([f"{fresh} {form} {fresh}" for form in forms]), strict=True):
-        assert score > max(0.05, 100 * clean), form
+    forms = ["glup", "glxup", "glaup", "gl*p", "youglup", "qqglupqq", "frumk", "frxumk", "bigfatfrumk", "fr*mk", "frmk", "zwabby", "zw*bby", "snarkel", "snarel", "snrkel", "snarxkel"]
+    scores = dict(zip(forms, m.scores([f"{fresh} {form} {fresh}" for form in forms]), strict=True))
+    assert clean < 0.1 and min(scores[w] for w in ("glup", "frumk", "zwabby", "snarkel")) > 0.5
+    for form, score in scores.items():
+        assert score > max(0.15, 5 * clean), (form, score)
+
+
+def slow_value(word, landmark):
+    """Best normalised kernel value of a marked word's windows, by listing subsequences."""
+    own = ("^" if len(landmark.strip("$")) <= tox.ANCHORED else "") + landmark
+    word, best = f"^{word}$", 0.0
+
+    def common(x, y):
+        row = [0] * (len(y) + 1)
+        for a in x:
+            new = [0]
+            for j, b in enumerate(y):
+                new.append(row[j] + 1 if a == b else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    for width in range(len(own) - 1, len(own) + tox.SLACK + 1):
+        for at in range(len(word) - width + 1):
+            part = word[at : at + width]
+            if common(part, own) >= len(own) - 1:
+                best = max(best, brute_kernel(part, own) / np.sqrt(brute_kernel(part, part) * brute_kernel(own, own)))
+    return best if best >= tox.FLOOR else 0.0
+
+
+def test_scores_match_brute_force():
+    """Every step after the fit by plain loops: words, kernel values, sentences, margins, evidence and curve."""
+    texts, labels, fresh = insulted(["glup", "frumk", "zwabby"], 8, 80)
+    m = tox.ToxicModel(texts, labels)
+    count = len(m.kernel.landmarks)
+    probes = [*texts[:6], f"{fresh}. You glxup! {fresh}\nfr-umk and Z W A B B Y. zw4bby", "", "glup glup. glup", "a.b,c"]
+    for text, score in zip(probes, m.scores(probes), strict=True):
+        spelt = ["".join(c for c in run if c.isalpha()) for run in tox.SPELT.findall(text)]
+        first = second = 0.0
+        for words in [*[s.split() for s in tox.BREAK.split(text)], *[[w] for w in spelt]]:
+            best = [max((slow_value(tox.clean_word(w), x) for w in words), default=0.0) for x in m.kernel.landmarks]
+            if any(best):
+                margin = sum(v * a + v**tox.SHARP * b for v, a, b in zip(best, m.alpha[:count], m.alpha[count:], strict=True)) + m.bias
+                beyond = max(margin - m.bias / 2, 0.0)
+                first, second = first + beyond**2, second + beyond
+        z = m.curve[0] * np.log1p(first) + m.curve[1] * np.log1p(second) + m.curve[2]
+        assert abs(score - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9
 
 
 def test_training_takes_two_thousand_documents_a_class():
