@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -61,25 +62,47 @@ def block_count(spark: SparkSession) -> int:
     return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def cut_points(df: DataFrame, key: str, blocks: int) -> list[int]:
-    """At most ``blocks - 1`` ascending values of an integer column that cut it into blocks of similar row counts."""
-    if blocks < 2:
-        return []
-    marks = [i / blocks for i in range(1, blocks)]
-    found = df.agg(F.percentile_approx(key, marks, 10 * blocks).alias("cuts")).first()["cuts"]
-    return sorted(set(found or []))
-
+LEAST = -(2**63)
 
-def block_of(key: Column, cuts: list[int]) -> Column:
-    """How many cut points are not above the key, as a balanced decision tree; null keys fall in block 0."""
 
-    def branch(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key < cuts[mid], branch(lo, mid)).otherwise(branch(mid + 1, hi))
+def cut_points(df: DataFrame, key: str, blocks: int, within: str | None = None) -> list[tuple[int, int]]:
+    """At most ``blocks - 1`` ascending cuts (value of an integer column, least value of ``within``) into blocks of similar row counts.
 
-    return F.when(key.isNull(), F.lit(0)).otherwise(branch(0, len(cuts))).cast("int")
+    A value that would fill several blocks by itself is cut at its rows' quantiles of ``within``, an integer
+    column; without one it stays whole.
+    """
+    if blocks < 2:
+        return []
+    marks = [i / blocks for i in range(1, blocks)]
+    found = Counter(df.agg(F.percentile_approx(key, marks, 10 * blocks).alias("cuts")).first()["cuts"] or [])
+    cuts = {(k, LEAST) for k in found}
+    hot = {k: n for k, n in found.items() if n > 1}
+    if hot and within is not None:
+        grid = max(hot.values()) + 1
+        inner = df.filter(F.col(key).isin(list(hot))).groupBy(key).agg(F.percentile_approx(within, [i / grid for i in range(1, grid)], 10 * grid).alias("cuts"))
+        for row in inner.collect():  # fewer numbers in all than there are blocks, on a grid as long as the hottest value's
+            parts = hot[row[key]] + 1
+            cuts |= {(row[key], row["cuts"][i * (grid - 1) // parts]) for i in range(1, parts)}
+    return sorted(cuts)
+
+
+def number_list(values: list[int]) -> str:
+    """SQL of a constant array, written as one string: an expression for each number would take longer to plan than to run."""
+    return f"cast(split('{','.join(map(str, values))}', ',') AS array<bigint>)" if values else "cast(array() AS array<bigint>)"
+
+
+def block_of(key: str, cuts: list[tuple[int, int]], within: str | None = None) -> Column:
+    """How many cuts are not above the row, by binary search in a constant array; null keys fall in block 0."""
+    if not cuts:
+        return F.lit(0)
+    at = "shiftright(s.lo + s.hi, 1)"
+    below = f"{key} < {number_list([k for k, _ in cuts])}[{at}]"
+    if within is not None:
+        equal = f"{key} = {number_list([k for k, _ in cuts])}[{at}]"
+        below = f"({below} OR {equal} AND {within} < {number_list([w for _, w in cuts])}[{at}])"
+    step = f"IF(s.lo >= s.hi, s, IF({below}, named_struct('lo', s.lo, 'hi', {at}), named_struct('lo', {at} + 1, 'hi', s.hi)))"
+    search = f"aggregate(sequence(1, {len(cuts).bit_length()}), named_struct('lo', 0, 'hi', {len(cuts)}), (s, x) -> {step}, s -> s.lo)"
+    return F.expr(f"IF({key} IS NULL, 0, {search})")
 
 
 def running_totals(df: DataFrame, block: str, order: list, values: dict[str, Column]) -> DataFrame:

@@ -7,8 +7,8 @@ siblings first, and a node passes up only what all its children together cannot
 the sum of theirs. A leaf then gives whole epochs and the longest prefix of one more, in the order of a
 seeded hash of epoch and id, whose tokens stay within the rest.
 
-The prefix of a leaf is found from token sums of 4,096 hash ranges; only the range with the cut is put
-in order. What comes back is one hash threshold a leaf, so documents are neither sorted nor moved to be
+The prefix of a leaf is found from token sums of 4,096 hash ranges, then of as many within the range that holds the cut; only
+the documents of the last one, one in 16 million of the leaf's, are put in order. What comes back is one hash threshold a leaf, so documents are neither sorted nor moved to be
 selected.
 
 Tokens are words (runs of anything but ASCII blanks); null and empty texts have none and cost nothing. A null
@@ -19,6 +19,8 @@ table gives no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,7 @@ from .common import materialise, read_table
 LEVELS = ("domain", "lang", "source")
 WEIGHTS = {"domain": {"domain0": 4.0, "domain1": 3.0, "domain2": 2.0, "domain3": 1.0}, "lang": {"en": 3.0}, "source": {}}
 SEED, MAX_EPOCHS = "2024", 4
+DIGITS = (3, 6)
 
 
 def tree_levels() -> dict[str, Column]:
@@ -96,18 +99,21 @@ def mixing_plan(docs: DataFrame, budget_share: float = 1.0, weights: dict | None
     leaves = leaves.withColumn("epochs", F.when(F.col("supply") > 0, F.expr("alloc div supply")).otherwise(F.when(F.col("alloc").isNotNull(), F.lit(1))).cast("long"))
     leaves = materialise(leaves.withColumn("rest", F.col("alloc") - F.col("epochs") * F.col("supply")), "leaves")
 
-    rows = narrow.join(leaves.filter("rest > 0").select(*levels, "epochs", "rest"), levels)
-    rows = rows.withColumn("hash", order_hash(seed, F.col("epochs") + 1, F.col("doc_id"))).withColumn("range", F.substr("hash", F.lit(1), F.lit(3)))
-    rows = rows.select(*levels, "rest", "range", "hash", "tokens")
-    ranges = rows.groupBy(*levels, "rest", "range").agg(F.sum("tokens").alias("sum"))
-    upto = Window.partitionBy(*levels).orderBy("range")
-    ranges = ranges.withColumn("through", F.sum("sum").over(upto))
-    inside = ranges.filter("through <= rest").groupBy(*levels).agg(F.max("range").alias("last_range"))
-    cut = ranges.filter("through > rest").groupBy(*levels).agg(F.min(F.struct("range", (F.col("through") - F.col("sum")).alias("before"))).alias("cut")).select(*levels, "cut.*")
+    rows = narrow.join(leaves.filter("rest > 0").select(*levels, "epochs", "rest", F.lit(0).cast("long").alias("before")), levels)
+    rows = rows.withColumn("hash", order_hash(seed, F.col("epochs") + 1, F.col("doc_id"))).select(*levels, "rest", "before", "hash", "tokens")
+    through, marks = Window.partitionBy(*levels).orderBy("range"), []
+    for digits in DIGITS:  # sums of hash ranges, then of the ranges within the one that holds the cut
+        ranges = rows.groupBy(*levels, "rest", "before", F.substr("hash", F.lit(1), F.lit(digits)).alias("range")).agg(F.sum("tokens").alias("sum"))
+        ranges = materialise(ranges.withColumn("through", F.col("before") + F.sum("sum").over(through)), "ranges")
+        marks.append(ranges.filter("through <= rest").groupBy(*levels).agg(F.concat(F.max("range"), F.lit("g")).alias("mark")))
+        cut = ranges.filter("through > rest").groupBy(*levels).agg(F.min(F.struct("range", (F.col("through") - F.col("sum")).alias("upto"))).alias("cut"))
+        cut = cut.select(*levels, "cut.*")
+        rows = rows.join(cut, levels).filter(F.col("hash").startswith(F.col("range")))
+        rows = materialise(rows.select(*levels, "rest", F.col("upto").alias("before"), "hash", "tokens"), "cut")
     at_cut = Window.partitionBy(*levels).orderBy("hash").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    partial = rows.join(cut, [*levels, "range"]).withColumn("through", F.col("before") + F.sum("tokens").over(at_cut))
-    partial = partial.filter("through <= rest").groupBy(*levels).agg(F.max("hash").alias("last_hash"))
-    marks = inside.join(partial, levels, "full").select(*levels, F.greatest("last_hash", F.concat("last_range", F.lit("g"))).alias("last_hash"))
+    rows = rows.withColumn("through", F.col("before") + F.sum("tokens").over(at_cut)).filter("through <= rest")
+    marks.append(rows.groupBy(*levels).agg(F.max("hash").alias("mark")))
+    marks = reduce(DataFrame.unionByName, marks).groupBy(*levels).agg(F.max("mark").alias("last_hash"))  # of a longer prefix the later
     return materialise(leaves.join(marks, levels, "left").select(*levels, "supply", "alloc", "epochs", "last_hash"), "plan")
 
 

@@ -11,7 +11,7 @@ share of equal lanes, which estimates the likeness of the two sets of names.
 
 Texts are parsed many at a time in one array, cut where a text begins. The next document (by descending id,
 ties by text, rows without id last, after the last row the first) comes from a range partitioning of the
-ids: each range also gets the first row of the range below it.
+ids and, where an id fills several ranges, of the texts' first bytes: each range also gets the first row of the range below it.
 
 Null texts count as empty; empty texts share one fingerprint. Repeated rows are rows of their own, each the next
 of the other. A single row is its own next document. An empty table gives no rows.
@@ -24,14 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import block_count, block_of, cut_points, read_table
+from .common import LEAST, block_count, block_of, cut_points, number_list, read_table
 
 LANES, FIRST_LEVEL, TOSSES = 48, 2, 4
 GROUP_CHARS = 300_000
-LEAST_ID = -(2**63)
 
 _DRAWN = np.random.RandomState(19).randint(0, 2**32, (2, LANES), dtype=np.uint64).astype(np.uint32)
 _TIMES, _PLUS = (_DRAWN[0] | np.uint32(1))[:, None], _DRAWN[1][:, None]
@@ -190,21 +189,23 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: fingerprints of the text and of its edited text, and their likeness to each other and to the next document's."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("k", F.coalesce("doc_id", F.lit(LEAST_ID)))
+    # a row's place: its id and, downwards, the first bytes of its text, so that rows of one id need not share a block
+    head = F.conv(F.rpad(F.hex(F.substring(F.col("text").cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    rows = rows.withColumns({"k": F.coalesce("doc_id", F.lit(LEAST)), "w": -head})
     blocks = block_count(docs.sparkSession)
-    rows = rows.withColumn("block", block_of(F.col("k"), cut_points(docs.select(F.col(id_col).alias("doc_id")), "doc_id", blocks)))
-    tops = sorted((r["block"], r["top"]) for r in rows.groupBy("block").agg(F.max("k").alias("top")).collect())  # one row a block
-    top_of, lent_to = [None] * blocks, [None] * blocks
-    for i, (block, top) in enumerate(tops):
-        top_of[block], lent_to[block] = top, tops[(i + 1) % len(tops)][0]
-
-    def place(values: list) -> Column:
-        return F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), F.col("block") + 1)
+    cuts = cut_points(rows.select("k", "w"), "k", blocks, "w")
+    rows = rows.withColumn("block", block_of("k", cuts, "w"))
+    tops = rows.groupBy("block").agg(F.max(F.struct("k", "w")).alias("top")).select("block", "top.*")
+    tops = sorted(tuple(r) for r in tops.collect())  # one row a block
+    place = {name: [0] * (len(cuts) + 1) for name in ("k", "w", "to")}
+    for i, (block, k, w) in enumerate(tops):
+        place["k"][block], place["w"][block], place["to"][block] = k, w, tops[(i + 1) % len(tops)][0]
 
     own = F.struct(F.col("block").alias("block"), F.lit(False).alias("halo"))
-    lent = F.struct(place(lent_to).cast("int").alias("block"), F.lit(True).alias("halo"))
-    rows = rows.select("doc_id", "text", "k", F.explode(F.when(F.col("k") == place(top_of), F.array(own, lent)).otherwise(F.array(own))).alias("to"))
-    rows = rows.select("doc_id", "text", "k", "to.block", "to.halo").repartitionById(blocks, "block")
+    lent = F.struct(F.expr(f"{number_list(place['to'])}[block]").cast("int").alias("block"), F.lit(True).alias("halo"))
+    is_top = F.expr(f"k = {number_list(place['k'])}[block] AND w = {number_list(place['w'])}[block]")
+    rows = rows.select("doc_id", "text", "k", F.explode(F.when(is_top, F.array(own, lent)).otherwise(F.array(own))).alias("to"))
+    rows = rows.select("doc_id", "text", "k", "to.block", "to.halo").repartitionById(len(cuts) + 1, "block")
     rows = rows.sortWithinPartitions("block", "halo", F.desc("k"), "text").select("block", "halo", "doc_id", "text")
     return rows.mapInPandas(_compare, RESULT)
 

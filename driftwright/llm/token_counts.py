@@ -55,7 +55,7 @@ def context_table(histogram: DataFrame) -> DataFrame:
     share of documents of at most L tokens (so the q-quantile is the first L whose share reaches q)."""
     hist = materialise(histogram, "lengths")
     cuts = cut_points(hist, "length", block_count(hist.sparkSession))
-    rows = hist.withColumn("block", block_of(F.col("length"), cuts))
+    rows = hist.withColumn("block", block_of("length", cuts))
     rows = running_totals(rows, "block", [F.col("length")], {"docs": F.col("docs"), "tokens": F.col("length") * F.col("docs")})
     above = F.col("all_docs") - F.col("before_docs")
     return rows.select(

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import hashlib
+import random
+import time
 import zlib
 
 import public_tokenizers
@@ -107,3 +109,34 @@ def test_shard_query_is_balanced(spark, sf):
     rows = sharding.op5_sharding(spark, sf).groupBy("shard").agg(F.sum("size").alias("b"), F.max("size").alias("m")).collect()
     mean = sum(r["b"] for r in rows) / 16
     assert len(rows) == 16 and all(abs(r["b"] - mean) <= 2 * max(x["m"] for x in rows) for r in rows)
+
+
+def test_blocks_by_binary_search(spark):
+    from driftwright.llm.common import LEAST, block_of, cut_points
+
+    draw = random.Random(4)
+    keys = [draw.randrange(-50, 50) for _ in range(300)] + [None]
+    cuts = sorted({(draw.randrange(-60, 60), LEAST if i % 2 else draw.randrange(100)) for i in range(37)})
+    rows = spark.createDataFrame([(k, draw.randrange(100)) for k in keys], "k long, w long")
+    for r in rows.select("*", block_of("k", cuts, "w").alias("b"), block_of("k", [(c, LEAST) for c in range(-40, 40, 3)]).alias("c"), block_of("k", []).alias("none")).collect():
+        assert r["none"] == 0 and r["b"] == (0 if r["k"] is None else sum(c <= (r["k"], r["w"]) for c in cuts))
+        assert r["c"] == (0 if r["k"] is None else sum(c <= r["k"] for c in range(-40, 40, 3)))
+    # a value of two thirds of the rows is cut by the second column, and 20,000 cuts are planned and searched at once
+    hot = spark.range(3000).select(F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id")).alias("k"), (F.col("id") * 37 % 3000).alias("w"))
+    found = hot.groupBy(block_of("k", cut_points(hot, "k", 12, "w"), "w").alias("b")).count().collect()
+    assert len(found) >= 10 and max(r["count"] for r in found) < 600
+    began = time.monotonic()
+    many = spark.range(0, 200_000, 7).select("id", block_of("id", [(10 * i, LEAST) for i in range(1, 20_000)]).alias("b"))
+    assert many.filter("b <> id div 10").count() == 0
+    assert time.monotonic() - began < 20
+
+
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_many_rows_of_one_id_are_sharded_in_order(spark, partitions):
+    draw = random.Random(partitions)
+    rows = [(draw.choice([None, None, 5, 5, 5, i]), "x" * draw.randrange(40)) for i in range(400)]
+    got = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions)).orderBy("offset").collect()
+    want = sorted(((i is not None, i or 0, len(t) + 1, zlib.crc32(t.encode())) for i, t in rows))
+    assert [(r["doc_id"] is not None, r["doc_id"] or 0, r["size"], r["text_crc32"]) for r in got] == want
+    sizes = [w[2] for w in want]
+    assert [r["offset"] for r in got] == [sum(sizes[:i]) for i in range(len(sizes))]

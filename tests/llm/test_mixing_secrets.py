@@ -80,6 +80,17 @@ def test_prefixes_of_seeded_epochs(spark):
     assert mixing.mix(empty(spark)).count() == 0
 
 
+def test_the_cut_is_found_at_any_depth(spark, monkeypatch):
+    """A hot leaf whose cut falls among many documents of one coarse hash range."""
+    rows = [(i, "w " * (1 + i % 3), "en", "src1") for i in range(900)] + [(i, "w w", "fr", "src2") for i in range(900, 960)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = {}
+    for digits in ((3, 6), (1,), (0, 1), (1, 2, 3)):
+        monkeypatch.setattr(mixing, "DIGITS", digits)
+        found[digits] = sorted((r["doc_id"], r["copies"]) for r in mixing.mix(docs, budget_share=0.5, max_epochs=1).collect())
+    assert len({str(v) for v in found.values()}) == 1 and 300 < len(found[3, 6]) < 700
+
+
 def test_selected_rows_keep_their_columns(spark):
     rows = mixing.select_mixture(awkward(spark), budget_share=0.9, max_epochs=1)
     assert rows.columns == awkward(spark).columns
