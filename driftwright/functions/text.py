@@ -25,6 +25,28 @@ def normalized(text: str) -> str:
     return " ".join(unicodedata.normalize("NFKC", text).split())
 
 
+@F.pandas_udf(StringType())
+def decode_utf8(body: pd.Series) -> pd.Series:
+    """Bytes as UTF-8, U+FFFD for every malformed part; null stays null."""
+    return body.map(lambda b: None if b is None else bytes(b).decode("utf-8", errors="replace"))
+
+
+def with_errors(result_type: str, function: Callable):
+    """Arrow function over one column: struct(value, error), the error naming the type of what ``function`` raised for a row."""
+
+    @F.pandas_udf(f"value {result_type}, error string")
+    def guarded(values: pd.Series) -> pd.DataFrame:
+        rows = []
+        for value in values:
+            try:
+                rows.append((function(value), None))
+            except Exception as fault:  # noqa: BLE001 - a row's failure is its result
+                rows.append((None, f"{type(fault).__name__}: {fault}"))
+        return pd.DataFrame(rows, columns=["value", "error"])
+
+    return guarded
+
+
 def _once(function):
     """Marked non-deterministic, so that no filter on its result is pushed below it and evaluates it again."""
     return function.asNondeterministic()
@@ -245,6 +267,52 @@ def button_numbers(label: str):
     return numbers
 
 
+# The keys under which pages state their reactions.
+REACTION_KEYS = ["likeCount", "likesCount", "like_count"]
+
+
+def reaction_count(page: Column, label: str, keys: list[str] = REACTION_KEYS) -> Column:
+    """Reactions that a page shows: those of the first stated key; else the one number of its labelled buttons; else the
+    one number of all its buttons; else null. As text, as pages write it."""
+    stated = F.coalesce(*[F.nullif(F.regexp_extract(page, rf'"{key}"\s*:\s*(\d+)', 1), F.lit("")) for key in keys])
+    shown = F.when(page.isNotNull() & stated.isNull(), button_numbers(label)(page))
+    as_text = lambda name: F.transform(shown[name], lambda x: x.cast("string"))
+    return unambiguous(stated, as_text("labelled"), as_text("numeric"))
+
+
+def scored(text: Column, features: Callable[[str], dict], predict: Callable[[str], dict]) -> Column:
+    """struct(features, label, probability, error) of a text by an injected scorer.
+
+    ``features`` gives numbers by name, ``predict`` a dict with ``label`` and a numeric ``probability``; anything else is the row's
+    error, as is an exception. A null text has neither values nor an error.
+    """
+
+    def number(value) -> float:
+        if isinstance(value, bool) or not isinstance(value, (int, float)):
+            raise TypeError(f"number expected, {type(value).__name__} found")
+        return float(value)
+
+    def one(content: str) -> tuple:
+        found, prediction = features(content), predict(content)
+        if not isinstance(found, dict) or not isinstance(prediction, dict):
+            raise TypeError(f"dicts expected, {type(found).__name__} and {type(prediction).__name__} found")
+        if prediction.get("label") is None or "probability" not in prediction:
+            raise ValueError("label or probability is missing")
+        return {str(k): number(v) for k, v in found.items()}, str(prediction["label"]), number(prediction["probability"]), None
+
+    @F.pandas_udf("features map<string, double>, label string, probability double, error string")
+    def score(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for content in texts:
+            try:
+                rows.append((None,) * 4 if content is None else one(content))
+            except Exception as fault:  # noqa: BLE001 - a row's failure is its result
+                rows.append((None, None, None, f"{type(fault).__name__}: {fault}"))
+        return pd.DataFrame(rows, columns=["features", "label", "probability", "error"])
+
+    return score(text)
+
+
 def unambiguous(structured: Column, labelled: Column, numeric: Column) -> Column:
     """The structured value; else the one distinct labelled value; else the one distinct value; else null."""
 

@@ -12,6 +12,19 @@ def require_status(status: str, allowed: set[str]) -> None:
         raise ValueError(f"status {status!r} is none of {sorted(allowed)}")
 
 
+def require_collection_contract(sitemap: dict, pages: dict, paths: set[str], policy: str) -> None:
+    """Both reports compatible, no forbidden path used, the declared paths among those collected, and the policy stated."""
+    require_status(sitemap.get("status"), {"compatible"})
+    require_status(pages.get("status"), {"compatible"})
+    if pages.get("forbidden_paths_used") is not False:
+        raise ValueError("a forbidden path was used, or it is not said that none was")
+    collected = pages.get("collection_paths")
+    if not isinstance(collected, list) or not paths <= set(collected):
+        raise ValueError("the collected paths lack those of the contract")
+    if not isinstance(sitemap.get("collector_policy"), str) or policy not in sitemap["collector_policy"]:
+        raise ValueError("the collector's policy is not stated")
+
+
 def consistent_manifest(reports: DataFrame) -> str:
     """The one manifest hash of (report, manifest, n); different hashes or row counts are an error."""
     found = reports.agg(F.countDistinct("manifest").alias("hashes"), F.countDistinct("n").alias("counts"), F.min("manifest").alias("manifest")).first()

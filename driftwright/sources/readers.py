@@ -7,10 +7,12 @@ import tomllib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from driftwright.functions.text import decode_utf8
+
 NAMESPACE = "http://www.sitemaps.org/schemas/sitemap/0.9"
 ENTRY = "loc string, lastmod string"
 
@@ -21,14 +23,49 @@ def json_report(spark: SparkSession, path: str, schema: str | StructType, array:
     return report if array is None else report.select(F.posexplode(array).alias("idx", "r")).select("idx", "r.*")
 
 
+def _json_objects(raw: Column) -> tuple[Column, Column]:
+    parsed = F.try_parse_json(raw)
+    return parsed, F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
+
+
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, record VARIANT): blank lines are skipped; a line that is no JSON object stops the job and is named."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("pos", "raw"))
-    lines = lines.select((F.col("pos") + 1).alias("line"), F.btrim("raw").alias("raw")).filter("raw <> ''")
-    parsed = F.try_parse_json("raw")
-    is_object = F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
-    fault = F.raise_error(F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(" is not a JSON object")))
-    return lines.select("line", F.when(is_object, parsed).otherwise(fault.cast("variant")).alias("record"))
+    """(file, record VARIANT): blank lines are skipped; a line that is no JSON object stops the job.
+
+    Files are split and read line by line, so their size does not matter. The error shows the file and the line's
+    beginning; ``bad_json_lines`` numbers it.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.btrim("value", F.lit(" \t\r\n")).alias("raw")).filter("raw <> ''")
+    record, is_object = _json_objects(F.col("raw"))
+    fault = F.raise_error(F.concat(F.lit("not a JSON object in "), "file", F.lit(": "), F.left("raw", F.lit(80))))
+    return lines.select("file", F.when(is_object, record).otherwise(fault.cast("variant")).alias("record"))
+
+
+def bad_json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line) of lines that are no JSON objects, numbered from 1. Only the files that have any are read whole."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.btrim("value", F.lit(" \t\r\n")).alias("raw")).filter("raw <> ''")
+    files = [r["file"] for r in lines.filter(~_json_objects(F.col("raw"))[1]).select("file").distinct().collect()]
+    if not files:
+        return spark.createDataFrame([], "file string, line int")
+    whole = spark.read.text(files, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r\n|\n|\r")).alias("pos", "raw"))
+    whole = whole.select("file", (F.col("pos") + 1).alias("line"), F.btrim("raw", F.lit(" \t\r\n")).alias("raw")).filter("raw <> ''")
+    return whole.filter(~_json_objects(F.col("raw"))[1]).select("file", "line")
+
+
+def landed_pages(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Fetched responses as they were landed, (url, status, content_type, body BINARY, error) in Parquet, with their text.
+
+    Collection is not done here: requests, their pacing and their guard on hosts and paths belong to the collector; this is the
+    format that it leaves. ``text`` is the body as UTF-8 with U+FFFD for what is malformed, null with an ``error`` when the
+    response is not a success, not of the expected kind, or empty.
+    """
+    rows = spark.read.schema("url string, status int, content_type string, body binary, error string").parquet(path)
+    error = F.coalesce(
+        F.col("error"),
+        F.when(~F.coalesce(F.col("status").between(200, 299), F.lit(False)), F.concat(F.lit("status "), F.coalesce(F.col("status").cast("string"), F.lit("unknown")))),
+        F.when(~F.coalesce(F.contains(F.lower("content_type"), F.lit(kind)), F.lit(False)), F.concat(F.lit("content type "), F.coalesce("content_type", F.lit("unknown")))),
+        F.when(F.coalesce(F.octet_length("body"), F.lit(0)) == 0, F.lit("empty body")),
+    )
+    return rows.select("url", "status", error.alias("error"), "body").select("url", "status", F.when(F.col("error").isNull(), decode_utf8("body")).alias("text"), "error")
 
 
 def toml_table(spark: SparkSession, text: str, name: str, schema: str) -> DataFrame:
@@ -98,3 +135,20 @@ def robots_rules(lines: DataFrame, agent: str = "*", file: str = "file", pos: st
     rows = rows.withColumn("agent", F.last(F.when(F.col("key") == "user-agent", F.col("value")), ignorenulls=True).over(above))
     wanted = (F.col("value") != "") & (((F.col("key") == "disallow") & (F.col("agent") == agent)) | (F.col("key") == "sitemap"))
     return rows.filter(wanted).select(file, F.col("key").alias("kind"), "value")
+
+
+def robots_verdict(rules: DataFrame, sitemap_prefix: str, forbidden: dict[str, str], file: str = "file") -> DataFrame:
+    """(file, sitemap, fault) of ``robots_rules``: the first official sitemap, and the first part of the contract that is broken.
+
+    ``forbidden`` names what must be disallowed: a path that ends in ``*`` by any rule that begins so, another by itself.
+    """
+    official = F.min(F.when((F.col("kind") == "sitemap") & F.col("value").startswith(sitemap_prefix), F.col("value")))
+    found = {}
+    for name, path in forbidden.items():
+        hit = F.col("value").startswith(path[:-1]) if path.endswith("*") else F.col("value") == path
+        found[name] = F.coalesce(F.max((F.col("kind") == "disallow") & hit), F.lit(False))
+    rows = rules.groupBy(file).agg(official.alias("sitemap"), *[c.alias(f"has_{i}") for i, c in enumerate(found.values())])
+    fault = F.when(F.col("sitemap").isNull(), F.lit("no official sitemap"))
+    for i, name in enumerate(found):
+        fault = fault.when(~F.col(f"has_{i}"), F.lit(f"{name} is not disallowed"))
+    return rows.select(file, "sitemap", fault.alias("fault"))

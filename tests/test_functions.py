@@ -166,3 +166,32 @@ def test_bootstrap_is_seeded_and_grouped(spark):
     for parts in (1, 5):
         got = {r["grp"]: (r["lo"], r["hi"]) for r in st.bootstrap(frame.repartition(parts), "g", "s", "v", "o", "l", "r", 400, 7).collect()}
         assert got == {"g": found, "h": (None, None)}
+
+
+def test_reactions_by_keys_then_buttons(spark):
+    pages = [
+        ('<script>{"likesCount": 7, "like_count": 9}</script><button aria-label="like">3</button>', "7"), ('{"like_count" : 12}', "12"),
+        ('<button aria-label="like">1,884</button><button>5</button>', "1884"), ("<button>5</button><button>5</button>", "5"),
+        ("<button>5</button><button>6</button>", None), ("", None), (None, None),
+    ]
+    rows = spark.createDataFrame(pages, "html string, want string").select("want", tx.reaction_count(F.col("html"), "like").alias("got"))
+    assert all(r["got"] == r["want"] for r in rows.collect())
+
+
+def test_injected_scorer_is_checked(spark):
+    def predict(text):
+        if text == "raise":
+            raise KeyError("no model")
+        return {"none": {"label": None, "probability": 0.5}, "type": {"label": "x", "probability": "high"}, "list": []}.get(text, {"label": 1, "probability": len(text) / 10})
+
+    texts = ["abc", "none", "type", "list", "raise", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.scored(F.col("t"), lambda t: {"size": len(t)}, predict).alias("s")).collect()
+    got = {r["t"]: r["s"] for r in rows}
+    assert (got["abc"]["features"], got["abc"]["label"], got["abc"]["probability"], got["abc"]["error"]) == ({"size": 3.0}, "1", 0.3, None)
+    assert [got[t]["error"].split(":")[0] for t in ("none", "type", "list", "raise")] == ["ValueError", "TypeError", "TypeError", "KeyError"]
+    assert got[None]["error"] is None and got[None]["label"] is None
+
+
+def test_errors_name_their_type(spark):
+    rows = spark.createDataFrame([("1",), ("x",), (None,)], "t string").select("t", tx.with_errors("long", lambda t: int(t))("t").alias("r")).collect()
+    assert [(r["r"]["value"], (r["r"]["error"] or "").split(":")[0]) for r in rows] == [(1, ""), (None, "ValueError"), (None, "TypeError")]

@@ -29,3 +29,15 @@ def test_status_is_required():
     rp.require_status("compatible", {"compatible"})
     with pytest.raises(ValueError, match="blocked"):
         rp.require_status("blocked", {"compatible"})
+
+
+def test_collection_contract():
+    from driftwright.operators.reports import require_collection_contract
+
+    site = {"status": "compatible", "collector_policy": "robots+sitemap only, public pages"}
+    pages = {"status": "compatible", "forbidden_paths_used": False, "collection_paths": ["/sitemaps/*", "/a/*", "/more"]}
+    wanted = ({"/sitemaps/*", "/a/*"}, "robots+sitemap only")
+    require_collection_contract(site, pages, *wanted)
+    for a, b in [({"status": "failed"}, {}), ({}, {"status": "failed"}), ({}, {"forbidden_paths_used": None}), ({}, {"collection_paths": ["/a/*"]}), ({}, {"collection_paths": None}), ({"collector_policy": None}, {})]:
+        with pytest.raises(ValueError):
+            require_collection_contract(site | a, pages | b, *wanted)

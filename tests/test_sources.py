@@ -22,12 +22,49 @@ def test_json_report_and_catalog(spark, tmp_path):
 
 
 def test_json_lines_name_the_bad_line(spark, tmp_path):
-    (tmp_path / "ok.jsonl").write_text('{"a": 1}\n\n{"b": null}\n')
-    got = readers.json_lines(spark, f"{tmp_path}/ok.jsonl").select("line", F.to_json("record").alias("r")).collect()
-    assert [tuple(r) for r in got] == [(1, '{"a":1}'), (3, '{"b":null}')]
-    (tmp_path / "bad.jsonl").write_text('{"a": 1}\n[1]\n')
-    with pytest.raises(Exception, match="line 2 is not a JSON object"):
-        readers.json_lines(spark, f"{tmp_path}/bad.jsonl").collect()
+    (tmp_path / "ok.jsonl").write_text('{"a": 1}\n\n  \n{"b": null}\r\n')
+    got = readers.json_lines(spark, f"{tmp_path}/ok.jsonl").select(F.to_json("record").alias("r")).collect()
+    assert sorted(r[0] for r in got) == ['{"a":1}', '{"b":null}']
+    assert readers.bad_json_lines(spark, f"{tmp_path}/ok.jsonl").count() == 0
+    (tmp_path / "bad.jsonl").write_text('{"a": 1}\n\n[1]\n{"c": 2}\nnope\n')
+    with pytest.raises(Exception, match="not a JSON object in .*bad.jsonl"):
+        readers.json_lines(spark, f"{tmp_path}/*.jsonl").collect()
+    bad = readers.bad_json_lines(spark, f"{tmp_path}/*.jsonl").collect()
+    assert sorted((r["file"].rsplit("/", 1)[1], r["line"]) for r in bad) == [("bad.jsonl", 3), ("bad.jsonl", 5)]
+
+
+def test_landed_pages_decode_and_carry_errors(spark, tmp_path):
+    rows = [("u1", 200, "text/html; charset=utf-8", b"a\xff\xe3\x81b", None), ("u2", 404, "text/html", b"x", None), ("u3", 200, "image/png", b"x", None), ("u4", 200, "text/html", b"", None), ("u5", None, None, None, "TimeoutError")]
+    spark.createDataFrame(rows, "url string, status int, content_type string, body binary, error string").write.parquet(f"{tmp_path}/p")
+    got = {r["url"]: (r["text"], r["error"]) for r in readers.landed_pages(spark, f"{tmp_path}/p", "html").collect()}
+    assert got == {"u1": (b"a\xff\xe3\x81b".decode("utf-8", "replace"), None), "u2": (None, "status 404"), "u3": (None, "content type image/png"), "u4": (None, "empty body"), "u5": (None, "TimeoutError")}
+
+
+def test_robots_verdict(spark):
+    def verdict(*lines):
+        rows = spark.createDataFrame([("f", i, x) for i, x in enumerate(("User-agent: *", *lines))], "file string, line_no int, raw string")
+        got = readers.robots_verdict(readers.robots_rules(rows), "https://x.example/sitemaps/", {"api": "/api/*", "search": "/search"}).first()
+        return (got["sitemap"], got["fault"])
+
+    site = "Sitemap: https://x.example/sitemaps/a.xml"
+    assert verdict(site, "Disallow: /api/*", "Disallow: /search") == ("https://x.example/sitemaps/a.xml", None)
+    assert verdict(site, "Disallow: /api/v1", "Disallow: /searching")[1] == "search is not disallowed"
+    assert verdict(site, "Disallow: /search")[1] == "api is not disallowed"
+    assert verdict("Sitemap: https://y.example/a.xml", "Disallow: /api/", "Disallow: /search") == (None, "no official sitemap")
+
+
+def test_job_parameters_and_check(spark, sf, tmp_path):
+    from driftwright import job
+
+    chosen = job.parameters(["label_counts", "--input", sf, "--output", f"{tmp_path}/o"])
+    job.run(spark, chosen)
+    assert spark.read.parquet(f"{tmp_path}/o").count() > 0
+    job.run(spark, job.parameters(["label_counts", "--input", sf, "--output", f"{tmp_path}/o", "--check"]))
+    with pytest.raises(SystemExit):
+        job.run(spark, job.parameters(["label_counts", "--input", sf, "--output", f"{tmp_path}/o", "--check", "--limit", "1"]))
+    for wrong in (["nothing", "--input", sf, "--output", "x"], ["label_counts", "--input", sf], ["label_counts", "--input", sf, "--output", "x", "--limit", "0"]):
+        with pytest.raises(SystemExit):
+            job.parameters(wrong)
 
 
 def test_sitemaps(spark, tmp_path):
