@@ -116,3 +116,11 @@ def test_record_beyond_the_parser_fails_loudly(spark):
     rows = spark.sql("""SELECT concat('{"prompt": "', repeat('a', 20500000), '", "completion": "c"}') AS record""")
     with pytest.raises(Exception, match="exceeds the parser"):
         cf.canonical_turns(rows, "record").select("layout_fingerprint").collect()
+
+
+def test_a_callers_columns_stay(spark):
+    rows = spark.createDataFrame([('{"prompt": "a", "completion": "b"}', 1, "p", "t")], "record string, v int, parts string, turns string")
+    got = cf.format_turns(cf.canonical_turns(rows, "record"))
+    first = got.first()
+    assert (first["v"], first["parts"]) == (1, "p") and [t["text"] for t in first["turns"]] == ["a", "b"]
+    assert got.columns == ["record", "v", "parts", "layout_fingerprint", "turns", "formatted", "loss_spans"]
