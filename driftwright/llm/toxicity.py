@@ -51,7 +51,7 @@ MIN_LANDMARK, MAX_LANDMARK, LANDMARKS = 4, 9, 96
 FLOOR, SHARP = 0.2, 10
 FORMS, DAMAGED, CLEAN = 12, 0.2, 5.0
 START, END = "^", "$"
-CACHE, GROUP_CHARS = 300_000, 2_000_000
+CACHE, GROUP_CHARS, KERNEL_ROWS = 300_000, 2_000_000, 1_024
 SENTENCE = re.compile(r"[.!?\n]+")
 BREAK = re.compile(r"(?<=[.!?])\s+|\n")
 SPELT = re.compile(r"(?<!\S)[^\W\d_](?:[\s.*_-]+[^\W\d_]){3,}(?!\S)")
@@ -76,19 +76,27 @@ def clean_word(token: str) -> str:
 
 def gap_kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Row-wise gap-weighted subsequence kernel of two code arrays (0 pads and matches nothing)."""
-    n, a, b = len(x), x.shape[1], y.shape[1]
-    same = ((x[:, :, None] == y[:, None, :]) & (x[:, :, None] > 0)) * (DECAY * DECAY)
-    below = np.ones((n, a, b))
+    return np.concatenate([_gap_kernel(x[at : at + KERNEL_ROWS], y[at : at + KERNEL_ROWS]) for at in range(0, max(1, len(x)), KERNEL_ROWS)])
+
+
+def _gap_kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``gap_kernel`` of few rows, which are the last axis here so that every step reads its cells in one run."""
+    x, y = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)
+    (a, n), b = x.shape, len(y)
+    same = ((x[:, None] == y[None]) & (x[:, None] > 0)) * (DECAY * DECAY)
+    below = np.ones((a, b, n))
     for _ in range(ORDER - 1):
         ending = same * below
-        above = np.zeros((n, a + 1, b + 1))
+        above = np.zeros((a + 1, b + 1, n))
         for i in range(a):
             run = np.zeros(n)
             for j in range(b):
-                run = DECAY * run + ending[:, i, j]
-                above[:, i + 1, j + 1] = DECAY * above[:, i, j + 1] + run
-        below = above[:, :a, :b]
-    return (same * below).sum(axis=(1, 2))
+                run *= DECAY
+                run += ending[i, j]
+                np.multiply(above[i, j + 1], DECAY, out=above[i + 1, j + 1])
+                above[i + 1, j + 1] += run
+        below = above[:a, :b]
+    return (same * below).sum(axis=(0, 1))
 
 
 def common_length(words: np.ndarray, table: np.ndarray, size: int) -> np.ndarray:
@@ -168,9 +176,11 @@ class KernelMap:
             if not len(rows):
                 continue
             views, whose = [], []
+            known = table[codes] > 0
+            # a window that begins or ends with a letter the landmark lacks has a lower value than the one without it
             for width in range(need, min(size + SLACK, codes.shape[1]) + 1):
                 for at in range(codes.shape[1] - width + 1):
-                    fit = rows[sizes[rows] >= at + width]
+                    fit = rows[known[rows, at] & known[rows, at + width - 1]]
                     view = np.zeros((len(fit), size + SLACK), dtype=np.uint8)
                     view[:, :width] = codes[fit, at : at + width]
                     views.append(view)
@@ -178,14 +188,20 @@ class KernelMap:
             view, fit = np.concatenate(views), np.concatenate(whose)
             near = common_length(view, table, size) >= need
             view, fit = view[near], fit[near]
+            view, which = np.unique(view, axis=0, return_inverse=True)
             value = gap_kernel(view, np.broadcast_to(own_codes, (len(view), size))) / np.sqrt(gap_kernel(view, view) * own + 1e-12)
-            np.maximum.at(out[:, k], owner[fit], value)
+            np.maximum.at(out[:, k], owner[fit], value[which.reshape(-1)])
         out[out < FLOOR] = 0
 
 
+def spelt_words(text: str) -> list[str]:
+    """Words whose letters stand one by one, joined."""
+    return ["".join(c for c in run if c.isalpha()) for run in SPELT.findall(text)]
+
+
 def words_of(sentence: str) -> list[str]:
     words = [clean_word(t) for t in sentence.split()]
-    return [w for w in words if len(w) >= MIN_LANDMARK - 1] + ["".join(c for c in run if c.isalpha()).lower() for run in SPELT.findall(sentence)]
+    return [w for w in words if len(w) >= MIN_LANDMARK - 1] + [w.lower() for w in spelt_words(sentence)]
 
 
 def beginnings(word: str) -> list[str]:
@@ -391,17 +407,14 @@ class ToxicModel:
                 group.append(texts[at])
                 chars += len(texts[at])
                 at += 1
-            self._learn_words({t for text in group for t in text.split()})
-            yield from map(self._near_sentences, group)
+            spelt = [spelt_words(text) for text in group]
+            self._learn_words({t for text in group for t in text.split()}.union(*spelt))
+            yield from map(self._near_sentences, group, spelt)
 
-    def _near_sentences(self, text: str) -> np.ndarray:
+    def _near_sentences(self, text: str, spelt: list[str]) -> np.ndarray:
         """Kernel values of the text's sentences that have any: of every landmark the best value of a word."""
-        spelt = ["".join(c for c in run if c.isalpha()) for run in SPELT.findall(text)]
-        tokens = {*text.split(), *spelt}
-        if not tokens <= self.cache.keys():
-            self._learn_words(tokens)
         cache = self.cache
-        near = {t for t in tokens if cache[t] is not None}
+        near = {t for t in (*text.split(), *spelt) if cache[t] is not None}
         rows = []
         if near:
             sentences = [near.intersection(s.split()) for s in BREAK.split(text)] if not near.isdisjoint(text.split()) else []
