@@ -2,8 +2,8 @@
 
 A record is a JSON object. Its fingerprint is the SHA-256 of its nested field paths (names, nesting and
 which fields are lists; scalar types are left out). ``MAPPINGS`` lists the known layouts: an example
-record, from which the fingerprint is derived, and an SQL expression that turns the parsed record ``v``
-into canonical turns ``array<struct<role, text>>``. A record of an unknown layout gets null turns and its
+record, from which the fingerprint is derived, and the places of its turns, read from a parsed record or
+from a struct into canonical turns ``array<struct<role, text>>``. A record of an unknown layout gets null turns and its
 fingerprint, so that it can be counted and mapped.
 
 The template writes ``<s>role\\ntext</s>`` per turn. Inside roles and texts a backslash is doubled and one is
@@ -11,9 +11,11 @@ set after the first character of every control string; a newline in a role gets
 backslashes that escape restores the text, so reading back is exact. Loss spans are the code point ranges
 of the assistants' (escaped) texts in the output.
 
-Rows of (conv_id, turn, role, text) never pass a JSON parser: a record without texts chooses the mapping and the
-turns stay columns. JSON records do pass one, which takes strings of up to 20 million characters and variants of
-up to 128 MiB; a longer record that it refuses fails the query instead of giving null turns.
+Records are JSON or structs; in a struct the fields that are null in a record do not belong to it, so one type can hold
+many layouts. Rows of (conv_id, turn, role, text) become structs of messages and never pass a JSON parser: each record's own
+fields give its fingerprint, and the mapping found by that reads the turns. JSON records do pass one, which takes strings
+of up to 20 million characters and variants of up to 128 MiB; a longer record that it refuses fails the query instead of
+giving null turns.
 
 Nulls: a null text or role is empty; turns without a position come first. Turns of equal position run by
 role, then text; repeated rows stay repeated turns. An empty table gives no records. Everything is built-in
@@ -24,9 +26,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from .common import read_table
 
@@ -39,35 +43,49 @@ TURN = "struct<role: string, text: string>"
 ROLES = {"human": "user", "gpt": "assistant", "chatgpt": "assistant", "bard": "assistant", "bing": "assistant", "prompter": "user"}
 
 
-def _turn(role: str, text: str) -> str:
-    return f"named_struct('role', '{role}', 'text', variant_get(v, '{text}', 'string'))"
+def _turn(role: str, *fields: str) -> tuple:
+    """One turn of a fixed role; the texts of several fields are joined by an empty line, empty ones left out."""
+    return "turn", role, fields
 
 
-def _list(path: str, role: str, text: str) -> str:
-    return (
-        f"transform(variant_get(v, '{path}', 'array<variant>'), t -> named_struct("
-        f"'role', variant_get(t, '$.{role}', 'string'), 'text', variant_get(t, '$.{text}', 'string')))"
-    )
+def _list(field: str, role: str, text: str) -> tuple:
+    """A turn for every element of a list."""
+    return "list", field, role, text
 
 
-#: layout, example record, turns of the parsed record v
+#: layout, example record, where its turns are
 MAPPINGS = [
-    ("messages", {"messages": [{"role": "", "content": ""}]}, _list("$.messages", "role", "content")),
-    ("conversations", {"conversations": [{"from": "", "value": ""}]}, _list("$.conversations", "from", "value")),
-    ("system_conversations", {"system": "", "conversations": [{"from": "", "value": ""}]}, f"concat(array({_turn('system', '$.system')}), {_list('$.conversations', 'from', 'value')})"),
-    ("prompt_completion", {"prompt": "", "completion": ""}, f"array({_turn('user', '$.prompt')}, {_turn('assistant', '$.completion')})"),
-    ("prompt_response", {"prompt": "", "response": ""}, f"array({_turn('user', '$.prompt')}, {_turn('assistant', '$.response')})"),
-    ("question_answer", {"question": "", "answer": ""}, f"array({_turn('user', '$.question')}, {_turn('assistant', '$.answer')})"),
-    ("instruction_output", {"instruction": "", "output": ""}, f"array({_turn('user', '$.instruction')}, {_turn('assistant', '$.output')})"),
-    (
-        "instruction_input_output",
-        {"instruction": "", "input": "", "output": ""},
-        "array(named_struct('role', 'user', 'text', concat_ws('\\n\\n', nullif(variant_get(v, '$.instruction', 'string'), ''), nullif(variant_get(v, '$.input', 'string'), ''))), "
-        f"{_turn('assistant', '$.output')})",
-    ),
+    ("messages", {"messages": [{"role": "", "content": ""}]}, [_list("messages", "role", "content")]),
+    ("conversations", {"conversations": [{"from": "", "value": ""}]}, [_list("conversations", "from", "value")]),
+    ("system_conversations", {"system": "", "conversations": [{"from": "", "value": ""}]}, [_turn("system", "system"), _list("conversations", "from", "value")]),
+    ("prompt_completion", {"prompt": "", "completion": ""}, [_turn("user", "prompt"), _turn("assistant", "completion")]),
+    ("prompt_response", {"prompt": "", "response": ""}, [_turn("user", "prompt"), _turn("assistant", "response")]),
+    ("question_answer", {"question": "", "answer": ""}, [_turn("user", "question"), _turn("assistant", "answer")]),
+    ("instruction_output", {"instruction": "", "output": ""}, [_turn("user", "instruction"), _turn("assistant", "output")]),
+    ("instruction_input_output", {"instruction": "", "input": "", "output": ""}, [_turn("user", "instruction", "input"), _turn("assistant", "output")]),
 ]
 
 
+def _turns_at(parts: list[tuple], record: Column, typed: bool) -> Column:
+    """The turns that a mapping finds in a record, a parsed one or a struct."""
+
+    def get(value: Column, field: str, kind: str = "string") -> Column:
+        return value[field].cast(kind) if typed else F.variant_get(value, f"$.{field}", kind)
+
+    def listed(field: str, role: str, text: str) -> Column:
+        if typed:  # zipped, not transformed: that would copy every text
+            return F.arrays_zip(record[field][role].cast("array<string>").alias("role"), record[field][text].cast("array<string>").alias("text"))
+        return F.transform(get(record, field, "array<variant>"), lambda t: F.struct(get(t, role).alias("role"), get(t, text).alias("text")))
+
+    def single(role: str, fields: tuple) -> Column:
+        texts = [get(record, f) for f in fields]
+        text = texts[0] if len(texts) == 1 else F.concat_ws("\n\n", *[F.nullif(t, F.lit("")) for t in texts])
+        return F.array(F.struct(F.lit(role).alias("role"), text.alias("text")))
+
+    found = [(listed if kind == "list" else single)(*where).cast(f"array<{TURN}>") for kind, *where in parts]
+    return found[0] if len(found) == 1 else F.concat(*found)
+
+
 def field_paths(value) -> str:
     """The nested field paths of an example record, written as the fingerprint reads them."""
     if isinstance(value, dict):
@@ -87,6 +105,34 @@ def fingerprint(record: Column) -> Column:
     return F.sha2(F.regexp_replace(schema, r"(?<=[:<] ?)(?!OBJECT<|ARRAY<)[A-Z]+(\([^)]*\))?(?=[,>]|$)", "_"), 256)
 
 
+def typed_paths(values: Column, kind: DataType) -> Column:
+    """The nested field paths of an array of values of a Spark type, as ``field_paths`` writes them.
+
+    A field belongs to a record if a value of it there is not null; what the elements of a list hold is put together.
+    Nothing here copies a text.
+    """
+    if isinstance(kind, StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        held = [F.when(F.exists(values[f.name], lambda x: x.isNotNull()), F.concat(F.lit(f"{f.name}: "), typed_paths(values[f.name], f.dataType))) for f in fields]
+        found = F.concat(F.lit("OBJECT<"), F.concat_ws(", ", *held), F.lit(">"))
+    elif isinstance(kind, ArrayType):
+        found = F.concat(F.lit("ARRAY<"), typed_paths(F.flatten(F.filter(values, lambda x: x.isNotNull())), kind.elementType), F.lit(">"))
+    elif isinstance(kind, MapType):
+        raise TypeError("a map has no field names; give records as structs or JSON")
+    else:
+        return F.lit("_")
+    return F.when(F.exists(values, lambda x: x.isNotNull()), found).otherwise("_")
+
+
+def _may_hold(kind: DataType, example) -> bool:
+    """Whether records of a Spark type can have an example's layout."""
+    if isinstance(example, dict):
+        return isinstance(kind, StructType) and all(k in kind.names and _may_hold(kind[k].dataType, v) for k, v in example.items())
+    if isinstance(example, list):
+        return isinstance(kind, ArrayType) and _may_hold(kind.elementType, example[0])
+    return not isinstance(kind, StructType | ArrayType | MapType)
+
+
 def canonical_roles(turns: Column) -> Column:
     names = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
     return F.transform(
@@ -96,19 +142,24 @@ def canonical_roles(turns: Column) -> Column:
 
 
 def canonical_turns(records: DataFrame, record_col: str) -> DataFrame:
-    """Add ``layout_fingerprint`` and ``turns`` to rows with a JSON record (null record or layout: null turns).
+    """Add ``layout_fingerprint`` and ``turns`` to rows with a record, JSON or a struct (null record or layout: null turns).
 
-    A record of over ``PARSER_CHARS`` characters that cannot be parsed is an error: it may only be too large.
+    A JSON record of over ``PARSER_CHARS`` characters that cannot be parsed is an error: it may only be too large.
     """
-    refused = f"raise_error(concat('a record of ', length({record_col}), ' characters is no JSON or exceeds the parser (strings of {PARSER_CHARS} characters, 128 MiB in all)'))"
-    rows = records.select(F.struct("*").alias("row"), F.expr(f"coalesce(try_parse_json({record_col}), CASE WHEN length({record_col}) > {PARSER_CHARS} THEN cast({refused} AS variant) END)").alias("v"))
-    rows = rows.withColumn("layout_fingerprint", fingerprint(F.col("v")))
-    turns = None
-    for _, example, expression in MAPPINGS:
-        key, value = F.lit(fingerprint_of(example)), F.expr(f"cast({expression} AS array<{TURN}>)")
-        turns = F.when(F.col("layout_fingerprint") == key, value) if turns is None else turns.when(F.col("layout_fingerprint") == key, value)
-    made = {"layout_fingerprint": F.col("layout_fingerprint"), "turns": canonical_roles(turns)}
-    return rows.select(*[F.col("row")[c].alias(c) for c in records.columns if c not in made], *[c.alias(n) for n, c in made.items()])
+    kind = records.schema[record_col].dataType
+    if isinstance(kind, StructType):
+        rows, v, known = records, F.col(record_col), [m for m in MAPPINGS if _may_hold(kind, m[1])]
+        found, kept = F.when(v.isNotNull(), F.sha2(typed_paths(F.array(v), kind), 256)), F.col
+    else:
+        refused = f"raise_error(concat('a record of ', length({record_col}), ' characters is no JSON or exceeds the parser (strings of {PARSER_CHARS} characters, 128 MiB in all)'))"
+        rows = records.select(F.struct("*").alias("row"), F.expr(f"coalesce(try_parse_json({record_col}), CASE WHEN length({record_col}) > {PARSER_CHARS} THEN cast({refused} AS variant) END)").alias("v"))
+        rows, v, known = rows.withColumn("layout_fingerprint", fingerprint(F.col("v"))), F.col("v"), MAPPINGS
+        found, kept = F.col("layout_fingerprint"), F.col("row").getField
+    turns = F.lit(None).cast(f"array<{TURN}>")
+    for _, example, parts in known:
+        turns = F.when(found == fingerprint_of(example), _turns_at(parts, v, rows is records)).otherwise(turns)
+    made = {"layout_fingerprint": found, "turns": canonical_roles(turns)}
+    return rows.select(*[kept(c).alias(c) for c in records.columns if c not in made], *[c.alias(n) for n, c in made.items()])
 
 
 def escape(text: Column) -> Column:
@@ -169,14 +220,12 @@ def read_back(rows: DataFrame) -> DataFrame:
 def conversation_turns(rows: DataFrame) -> DataFrame:
     """(conv_id, layout_fingerprint, turns) of rows of (conv_id, turn, role, text), each conversation a record of messages.
 
-    Only a skeleton of the record, one message without role and text, is written and parsed for the fingerprint.
+    The record is a struct, so that ``canonical_turns`` fingerprints and maps it without a parser, however long its texts are.
     """
-    text = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
     grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(text)).alias("m"))
-    skeleton = F.struct(F.array(F.struct(F.lit("").alias("role"), F.lit("").alias("content"))).alias("messages"))
-    found = fingerprint(F.parse_json(F.to_json(skeleton)))
-    turns = F.when(found == fingerprint_of(MAPPINGS[0][1]), canonical_roles(F.col("m")))
-    return grouped.select("conv_id", found.alias("layout_fingerprint"), turns.alias("turns"))
+    messages = F.arrays_zip(F.col("m.role").alias("role"), F.col("m.content").alias("content"))
+    return canonical_turns(grouped.select("conv_id", F.struct(messages.alias("messages")).alias("record")), "record").drop("record")
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

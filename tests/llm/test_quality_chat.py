@@ -124,3 +124,30 @@ def test_a_callers_columns_stay(spark):
     first = got.first()
     assert (first["v"], first["parts"]) == (1, "p") and [t["text"] for t in first["turns"]] == ["a", "b"]
     assert got.columns == ["record", "v", "parts", "layout_fingerprint", "turns", "formatted", "loss_spans"]
+
+
+def test_every_record_chooses_its_mapping_by_its_own_fields(spark):
+    """The layouts as structs of one type, null where a record lacks a field, become the turns and fingerprints of the JSON ones."""
+    known = [x for x, want in LAYOUTS if want is not None] + [{"messages": []}, {"messages": [{"role": "user"}]}, {"prompt": "p"}]
+    rows = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(known)], "id int, record string")
+    text = "system string, prompt string, completion string, instruction string, input string, output string, question string, answer string"
+    shape = f"messages array<struct<role: string, content: string>>, conversations array<struct<`from`: string, value: string>>, {text}"
+    typed = cf.canonical_turns(rows.select("id", cf.F.from_json("record", shape).alias("record")), "record")
+    json_rows = {r["id"]: (r["layout_fingerprint"], r["turns"]) for r in cf.canonical_turns(rows, "record").collect()}
+    assert {r["id"]: (r["layout_fingerprint"], r["turns"]) for r in typed.collect()} == json_rows
+    assert [json_rows[len(known) - i][1] for i in (1, 2, 3)] == [None] * 3
+
+
+def test_conversations_are_read_by_the_mapping_of_their_fingerprint(spark, monkeypatch):
+    """With another layout's mapping in the table, the conversations' turns follow it; without theirs there are none."""
+    rows = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "gpt", "b")], "conv_id long, turn long, role string, text string")
+    layout, example, parts = cf.MAPPINGS[0]
+
+    def turns():
+        return [tuple(t) for t in cf.conversation_turns(rows).first()["turns"] or []]
+
+    assert turns() == [("user", "a"), ("assistant", "b")]
+    monkeypatch.setattr(cf, "MAPPINGS", [(layout, example, [*parts, *parts]), *cf.MAPPINGS[1:]])
+    assert turns() == [("user", "a"), ("assistant", "b")] * 2
+    monkeypatch.setattr(cf, "MAPPINGS", cf.MAPPINGS[1:])
+    assert turns() == []
