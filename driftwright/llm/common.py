@@ -57,6 +57,34 @@ def deal_hot_keys(rows: DataFrame, key: str, mark: Column, single: DataFrame, si
     return found.drop("hot_key", "hot_shares", "hot_share", "its_share")
 
 
+PAGE_BITS = 15
+MOST_BITS = 27
+
+
+def split_by_ids(rows: DataFrame, key: str, ids: DataFrame, id_key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key is surely not one of the ids, the others), without moving a row; null keys are among the first.
+
+    ``ids`` is a written table. Its hashes set bits in a bitmap of 16 to 32 bits an id, at most 2 ** ``MOST_BITS`` (16 MB) in all,
+    which every task gets; so an exact join with the ids has to move only their rows and a few hundredths of the rest. More
+    ids than fill the bitmap leave more rows to that join and lose none.
+    """
+    bits = min(max((16 * ids.count()).bit_length(), PAGE_BITS), MOST_BITS)
+
+    def place(column: str) -> tuple[Column, Column]:
+        slot = F.shiftrightunsigned(F.xxhash64(F.col(column).cast("long")), 64 - bits)
+        return F.shiftright(slot, PAGE_BITS), slot.bitwiseAND(F.lit((1 << PAGE_BITS) - 1))
+
+    page, at = place(id_key)
+    pages = ids.filter(F.col(id_key).isNotNull()).groupBy(page.alias("bitmap_page")).agg(F.bitmap_construct_agg(at).alias("bitmap_bits"))
+    page, at = place(key)
+    page = F.when(F.col(key).isNotNull(), page)
+    met = rows.withColumns({"row_page": page, "row_at": at}).join(F.broadcast(pages), F.col("row_page") == F.col("bitmap_page"), "left")
+    byte = F.conv(F.hex(F.expr("substring(bitmap_bits, CAST(shiftright(row_at, 3) AS INT) + 1, 1)")), 16, 10).cast("int")
+    found = F.coalesce(F.getbit(byte, F.col("row_at").bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))
+    own = ["row_page", "row_at", "bitmap_page", "bitmap_bits"]
+    return met.filter(~found).drop(*own), met.filter(found).drop(*own)
+
+
 def block_count(spark: SparkSession) -> int:
     """Blocks for range-partitioned work: a few for each shuffle partition, independent of the rows."""
     return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import deal_hot_keys, materialise, read_table
+from .common import deal_hot_keys, materialise, read_table, split_by_ids
 from .components import connected_components
 
 WORDS, LIKENESS = 5, 75
@@ -270,7 +270,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = materialise(pairs, "pairs")
 
     wanted = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).unionByName(crowded.select(F.col("rep").alias("a"))).distinct()
-    sets = materialise(_full_sets(named.join(wanted, F.col("doc_id") == F.col("a"), "left_semi"), repeated), "sets")
+    wanted = materialise(wanted, "wanted")
+    _, texts = split_by_ids(named, "doc_id", wanted, "a")
+    sets = materialise(_full_sets(texts.join(wanted, F.col("doc_id") == F.col("a"), "left_semi"), repeated), "sets")
     links = _confirmed(pairs, sets)
     if repeated is not None:  # an id is one node: it links the classes that its rows belong to
         several = signed.join(repeated.filter("several"), F.col("doc_id") == F.col("repeated_id"), "left_semi").filter("n_shingles > 0")
@@ -301,13 +303,17 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     columns written as JSON, so that a task that is run again takes the same one.
     """
     found = materialise(near_duplicates(docs).select("doc_id", "kept"), "verdicts")
-    kept = found.filter("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("rows"))
-    kept = materialise(kept, "kept")
-    once = docs.join(kept.filter("rows = 1"), docs["doc_id"] == kept["kept_id"], "left_semi")
-    again = docs.join(kept.filter("rows > 1"), docs["doc_id"] == kept["kept_id"], "left_semi")
+    marked = found.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("marked_id")).agg(F.max("kept").alias("stays"), F.count("*").alias("rows"))
+    marked = materialise(marked.filter("NOT stays OR rows > 1"), "marked")
+    plain, others = split_by_ids(docs, "doc_id", marked, "marked_id")  # most rows are the only ones of ids that stay: their texts are not moved
+    once = plain.unionByName(others.join(marked, others["doc_id"] == marked["marked_id"], "left_anti"))
+    repeated = marked.filter("stays")
+    if repeated.isEmpty():
+        return once
+    again = others.join(repeated, others["doc_id"] == repeated["marked_id"], "left_semi")
     order = F.struct(F.col("text"), F.to_json(F.struct(*[c for c in docs.columns if c != "text"])))
     again = again.groupBy("doc_id").agg(F.min_by(F.struct("*"), order).alias("row")).select("row.*")
-    return once.unionByName(again).unionByName(docs.filter(docs["doc_id"].isNull()))
+    return once.unionByName(again)
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,9 @@ import re
 import numpy as np
 import pytest
 
+from driftwright.llm import common
 from driftwright.llm import near_duplicates as nd
+from driftwright.llm.common import materialise
 from driftwright.llm.components import connected_components
 
 from .helpers import SCHEMA, awkward, awkward_rows, empty
@@ -113,6 +115,42 @@ def test_a_passage_of_all_documents_joins_none_and_costs_little(spark, monkeypat
     assert compared.value < 5 * len(rows)
 
 
+def test_texts_that_nothing_is_near_to_are_not_shuffled(spark):
+    """With no table small enough to be broadcast, what moves is the signatures and the texts of the copies, not all texts."""
+    draw = random.Random(8)
+    rows = [(i, words(draw, 3000)) for i in range(200)]
+    rows += [(1000 + i, t + " z") for i, t in rows[:5]]
+    frame = materialise(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "texts")
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = shuffled()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = nd.drop_near_duplicates(frame).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == rows[:200]
+    assert shuffled() - before < 0.3 * sum(len(t) for _, t in rows)
+
+
+@pytest.mark.parametrize("most", [15, 27])
+def test_rows_of_ids_are_split_off(spark, monkeypatch, most):
+    """All rows of the ids are in the second part and all rows in one of the two, however full the bitmap is."""
+    monkeypatch.setattr(common, "MOST_BITS", most)
+    ids = spark.range(0, 60_000, 3).selectExpr("id * 7919 AS a")
+    rows = spark.range(60_000).selectExpr("id * 7919 AS doc_id", "id AS n").unionByName(spark.sql("SELECT CAST(NULL AS long) AS doc_id, -1L AS n"))
+    plain, others = common.split_by_ids(rows, "doc_id", ids, "a")
+    plain, others = {r["n"] for r in plain.collect()}, {r["n"] for r in others.collect()}
+    assert plain.isdisjoint(others) and plain | others == set(range(-1, 60_000)) and -1 in plain
+    assert others >= set(range(0, 60_000, 3))
+    assert most < 27 or len(others) < 20_000 + 0.1 * 40_000
+
+
 def test_awkward_rows(spark):
     rows = awkward_rows()
     got = nd.near_duplicates(awkward(spark)).collect()
