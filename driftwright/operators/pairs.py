@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftwright.functions import nearest as near
 from driftwright.functions.scalars import month_gap
 
 
@@ -72,39 +73,46 @@ def nearest_other(pairs: DataFrame, idx: str, label: str, distance: str) -> Data
     return a.unionByName(b).groupBy("idx", "actual").agg(nearest)
 
 
-def nearest_in_blocks(vectors: DataFrame, idx: str, label: str, vector: str, block: int = 1000) -> DataFrame:
+def nearest_in_blocks(vectors: DataFrame, idx: str, label: str, vector: str, block: int = 30_000) -> DataFrame:
     """Per row (idx, actual) the nearest other row of the whole table, by distance to six places, then position: (dist, other, predicted).
 
-    Rows meet in pairs of blocks of about ``block`` rows; of every pair only the nearest of each row goes on. Time grows
-    with the square of the rows by definition. Rows without position or vector take no part; a row alone has no nearest.
+    Every pair of blocks of at most about ``block`` rows meets once, in one task, and gives the nearest of each row both ways. Time grows
+    with the square of the rows by definition; a task holds two blocks. Rows without position or vector take no part; a row
+    alone has no nearest. All vectors must have one length.
     """
-    rows = vectors.filter(F.col(idx).isNotNull() & F.col(vector).isNotNull()).select(F.col(idx).alias("idx"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("vector"))
-    blocks = -(-rows.count() // block) or 1
-    packed = rows.groupBy(F.pmod(F.xxhash64("idx"), F.lit(blocks)).alias("b")).agg(F.collect_list(F.struct("idx", "label", "vector")).alias("m"))
-    packed = packed.select(F.col("m.idx").alias("idx"), F.col("m.label").alias("label"), F.flatten("m.vector").alias("vector"))
-    met = packed.select(*[F.col(c).alias(f"{c}_a") for c in packed.columns]).crossJoin(packed.select(*[F.col(c).alias(f"{c}_b") for c in packed.columns]))
-    met = met.repartition(min(blocks * blocks, 200))
+    kind = "array<float>" if dict(vectors.dtypes)[vector] == "array<float>" else "array<double>"
+    rows = vectors.filter(F.col(idx).isNotNull() & F.col(vector).isNotNull()).select(F.col(idx).alias("idx"), F.col(label).alias("label"), F.col(vector).cast(kind).alias("vector"))
+    n = rows.count()
+    blocks = max(-(-n // block), min(8, n // 1000), 1)
+    width = F.size("vector")
+    packed = rows.groupBy(F.pmod(F.xxhash64("idx"), F.lit(blocks)).cast("int").alias("b")).agg(F.collect_list(F.struct("idx", "label", "vector")).alias("m"), F.min(width).alias("least"), F.max(width).alias("most"))
+    packed = packed.select("b", F.col("m.idx").alias("idx"), F.col("m.label").alias("label"), F.flatten("m.vector").alias("vector"), "least", "most")
+    sent = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    low, high = F.least("b", "other"), F.greatest("b", "other")
+    sent = sent.withColumn("pair", (high * (high + 1) / 2 + low).cast("int"))
+    met = sent.repartitionById(blocks * (blocks + 1) // 2, "pair")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting = {}
         for batch in batches:
             for r in batch.itertuples(index=False):
-                ids, others = np.asarray(r.idx_a), np.asarray(r.idx_b)
-                a, b = np.asarray(r.vector_a).reshape(len(ids), -1), np.asarray(r.vector_b).reshape(len(others), -1)
-                order = np.argsort(others, kind="stable")  # the first of equal distances has the least position
-                others, labels, b = others[order], [r.label_b[i] for i in order], b[order]
-                step = max(1, 4_000_000 // max(1, b.size))
-                for at in range(0, len(ids), step):
-                    dist = np.round(np.sqrt(((a[at : at + step, None, :] - b[None]) ** 2).sum(axis=2)), 6)
-                    dist[ids[at : at + step, None] == others[None]] = np.inf
-                    best = dist.argmin(axis=1)
-                    found = dist[np.arange(len(best)), best]
-                    part = pd.DataFrame({"idx": ids[at : at + step], "actual": list(r.label_a[at : at + step]), "dist": found, "other": others[best], "predicted": [labels[i] for i in best]})
-                    yield part[np.isfinite(found)]
+                first = waiting.pop(r.pair, None)
+                if len({r.least, r.most, *((first[0].least, first[0].most) if first else ())}) > 1:
+                    raise ValueError("vectors of different lengths")
+                ids = np.asarray(r.idx)
+                here = r, near.Side.of(ids, np.asarray(r.vector).reshape(len(ids), r.most))
+                if first is None and r.b != r.other:
+                    waiting[r.pair] = here
+                    continue
+                x, y = first or here, here
+                for (one, two), (at, dist, other) in zip([(x[0], y[0]), (y[0], x[0])], near.nearest(x[1], y[1]), strict=False):
+                    labels, others = np.asarray(one.label, dtype=object), np.asarray(two.label, dtype=object)
+                    yield pd.DataFrame({"idx": np.asarray(one.idx)[at], "actual": labels[at], "dist": dist, "other": np.asarray(two.idx)[other], "predicted": others[other]})
 
     kinds = dict(rows.dtypes)
-    near = met.mapInPandas(search, f"idx {kinds['idx']}, actual {kinds['label']}, dist double, other {kinds['idx']}, predicted {kinds['label']}")
+    found = met.mapInPandas(search, f"idx {kinds['idx']}, actual {kinds['label']}, dist double, other {kinds['idx']}, predicted {kinds['label']}")
     best = F.min(F.struct("dist", "other", "predicted")).alias("n")
-    return near.groupBy("idx", "actual").agg(best).select("idx", "actual", "n.dist", "n.other", "n.predicted")
+    return found.groupBy("idx", "actual").agg(best).select("idx", "actual", "n.dist", "n.other", "n.predicted")
 
 
 def counterpart(df: DataFrame, keys: list[str], side: str, missing: str, left, right) -> DataFrame:
