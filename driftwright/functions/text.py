@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import html
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -52,11 +53,32 @@ def _once(function):
     return function.asNondeterministic()
 
 
-@_once
-@F.pandas_udf(StringType())
-def normalize_text(text: pd.Series) -> pd.Series:
-    """``normalized``; null stays null."""
-    return text.map(lambda t: None if t is None else normalized(t))
+#: rows and code points of texts after which results of ``_each`` leave Python
+HELD_ROWS, HELD_POINTS = 1000, 1_000_000
+
+
+def _each(result_type, arrow_type: pa.DataType, one: Callable):
+    """Arrow function of a text (or None) at a time. Beside Arrow's own batch, whose rows and bytes the session bounds, a worker
+    holds one text and the results of a million code points, whatever the number of rows."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            rows, points = [], 0
+            for scalar in batch:
+                text = scalar.as_py()
+                rows.append(one(text))
+                points += len(text or "")
+                if len(rows) >= HELD_ROWS or points >= HELD_POINTS:
+                    yield pa.array(rows, arrow_type)
+                    rows, points = [], 0
+            if rows:
+                yield pa.array(rows, arrow_type)
+
+    return _once(F.arrow_udf(run, result_type))
+
+
+#: ``normalized``; null stays null.
+normalize_text = _each(StringType(), pa.string(), lambda t: None if t is None else normalized(t))
 
 
 @F.pandas_udf(StringType())
