@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import LongType, StringType
 
 WINDOW = 1000
 
@@ -80,6 +80,9 @@ def _each(result_type, arrow_type: pa.DataType, one: Callable):
 #: ``normalized``; null stays null.
 normalize_text = _each(StringType(), pa.string(), lambda t: None if t is None else normalized(t))
 
+#: Code points of the normalised text, which itself stays in Python; null for null.
+normalized_length = _each(LongType(), pa.int64(), lambda t: None if t is None else len(normalized(t)))
+
 
 @F.pandas_udf(StringType())
 def html_unescape(text: pd.Series) -> pd.Series:
@@ -135,13 +138,11 @@ def with_ngram_stats(df: DataFrame, text_col: str, n: int, name: str) -> DataFra
 def normalized_window(text: Column, size: int = WINDOW) -> Column:
     """struct(chars, window): length of the normalised text and its first ``size`` code points."""
 
-    @_once
-    @F.pandas_udf("chars long, window string")
-    def cut(texts: pd.Series) -> pd.DataFrame:
-        whole = [None if t is None else normalized(t) for t in texts]
-        return pd.DataFrame({"chars": pd.array([None if t is None else len(t) for t in whole], dtype="Int64"), "window": [None if t is None else t[:size] for t in whole]})
+    def cut(text: str | None) -> dict:
+        whole = None if text is None else normalized(text)
+        return {"chars": None if whole is None else len(whole), "window": None if whole is None else whole[:size]}
 
-    return cut(text)
+    return _each("chars long, window string", pa.struct([("chars", pa.int64()), ("window", pa.string())]), cut)(text)
 
 
 def window_stats(text: Column, sizes: tuple[int, ...] = (2, 3), size: int = WINDOW) -> Column:

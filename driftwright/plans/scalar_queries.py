@@ -9,7 +9,7 @@ from driftwright.functions import text as tx
 from driftwright.functions.scalars import tidy
 from driftwright.sources.sinks import public_columns
 
-from .base import ARTICLES, CANDIDATES, MEASURED, articles, candidates, measured, query, table
+from .base import ARTICLES, CANDIDATES, MEASURED, article_index, articles, candidates, measured, query, table
 
 URL_PARTS = r"""parts AS (SELECT page_id, url, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS host,
   regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages)"""
@@ -250,13 +250,14 @@ def error_split(spark, d):
 
 @query(f"WITH {ARTICLES} SELECT idx, CASE WHEN length(body) >= 1000 THEN 'measured' ELSE 'insufficient_length' END AS status, CASE WHEN length(body) >= 1000 THEN sha256(substring(body, 1, 1000)) END AS prefix_sha256 FROM articles")
 def length_gate_retain(spark, d):
-    enough = F.length("body") >= tx.WINDOW
-    return articles(spark, d).select("idx", F.when(enough, "measured").otherwise("insufficient_length").alias("status"), F.when(enough, F.sha2(tx.window(F.col("body")), 256)).alias("prefix_sha256"))
+    enough = F.col("m.chars") >= tx.WINDOW
+    rows = article_index(spark, d, tx.normalized_window(F.col("text")).alias("m"))
+    return rows.select("idx", F.when(enough, "measured").otherwise("insufficient_length").alias("status"), F.when(enough, F.sha2("m.window", 256)).alias("prefix_sha256"))
 
 
 @query(f"WITH {ARTICLES} SELECT idx, CAST(length(body) AS BIGINT) AS chars FROM articles WHERE length(body) >= 1000")
 def length_gate_strict(spark, d):
-    return articles(spark, d).filter(F.length("body") >= tx.WINDOW).select("idx", F.length("body").cast("long").alias("chars"))
+    return article_index(spark, d, tx.normalized_length("text").alias("chars")).filter(F.col("chars") >= tx.WINDOW).select("idx", "chars")
 
 
 @query("SELECT doc_id AS idx, source FROM documents ORDER BY doc_id LIMIT 50")

@@ -28,3 +28,12 @@ def test_results_leave_python_by_rows_and_code_points(monkeypatch):
     monkeypatch.setattr(tx.pa, "array", lambda rows, kind: seen.append(len(rows)) or plain(rows, kind))
     out = pa.concat_arrays(tx.normalize_text.func(iter([batch, batch[:0]])))
     assert out.equals(batch) and seen == [tx.HELD_ROWS, tx.HELD_ROWS, 502, 2, 2]
+
+
+def test_length_gates_take_no_text_back(spark, sf):
+    for name in ("length_gate_strict", "length_gate_retain"):
+        plan = optimized(spark, sf, name)
+        assert streamed(plan) and "length(" not in plan
+    texts = ["ﬁ  x", None, "", "数学　数学"] * 700
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.normalized_length("t").alias("n")).collect()
+    assert [r["n"] for r in got] == [None if t is None else len(tx.normalized(t)) for t in texts]
