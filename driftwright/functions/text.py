@@ -149,22 +149,17 @@ def window_stats(text: Column, sizes: tuple[int, ...] = (2, 3), size: int = WIND
     """struct(chars, and for each n total_n, distinct_n, entropy_n) of the first ``size`` code points of the normalised
     text, in one crossing to Python; a text shorter than ``size`` has its length and no statistics."""
     _positive(sizes)
-    fields = [(f"{kind}_{n}", kind) for n in sizes for kind in ("total", "distinct", "entropy")]
+    fields = [("chars", "long"), *[(f"{kind}_{n}", "double" if kind == "entropy" else "long") for n in sizes for kind in ("total", "distinct", "entropy")]]
 
-    @_once
-    @F.pandas_udf(", ".join(["chars long", *[f"{name} {'double' if kind == 'entropy' else 'long'}" for name, kind in fields]]))
-    def stats(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            whole = None if t is None else normalized(t)
-            if whole is None or len(whole) < size:
-                rows.append((None if whole is None else len(whole), *[None] * len(fields)))
-            else:
-                rows.append((len(whole), *[v for n in sizes for v in gram_stats(whole[:size], n) or (None,) * 3]))
-        out = pd.DataFrame(rows, columns=["chars", *[name for name, _ in fields]])
-        return out.astype({c: "float64" if c.startswith("entropy") else "Int64" for c in out.columns})
-
-    return stats(text)
+    def stats(text: str | None) -> dict:
+        whole = None if text is None else normalized(text)
+        row = [None if whole is None else len(whole)]
+        if whole is not None and len(whole) >= size:
+            row += [v for n in sizes for v in gram_stats(whole[:size], n) or (None,) * 3]
+        return dict(zip((name for name, _ in fields), row, strict=False))
+
+    arrow_type = pa.struct([(name, pa.float64() if kind == "double" else pa.int64()) for name, kind in fields])
+    return _each(", ".join(f"{name} {kind}" for name, kind in fields), arrow_type, stats)(text)
 
 
 def finite(value: Column) -> Column:

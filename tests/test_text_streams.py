@@ -37,3 +37,9 @@ def test_length_gates_take_no_text_back(spark, sf):
     texts = ["ﬁ  x", None, "", "数学　数学"] * 700
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.normalized_length("t").alias("n")).collect()
     assert [r["n"] for r in got] == [None if t is None else len(tx.normalized(t)) for t in texts]
+
+
+@pytest.mark.parametrize("name", ["char_ngram_entropy", "ngram_profile", "endpoint_comparison", "unordered_pairs"])
+def test_windows_are_streamed(spark, sf, name):
+    lines = [line for line in optimized(spark, sf, name).splitlines() if "ArrowEvalPython" in line and "(text" in line]
+    assert lines and all(streamed(line) for line in lines)
